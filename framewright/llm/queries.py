@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import chat_format, exact_dedup, mixing, url_filter
+from framewright.llm import bpe_automaton, chat_format, exact_dedup, gif_media, minhash_dedup, mixing, substring_dedup, token_counts, url_filter
+
+
+#: Where the public vocabulary files are; workers read them there.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public vocabulary file: as its package names it, else below ``TOKENIZERS``."""
+    if find_spec("public_tokenizers"):
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    return f"{TOKENIZERS}/{name}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +31,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.digest(gif_media.store(table(spark, sf_dir, "documents")))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.sql(r"SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
@@ -24,15 +47,33 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chat(messages))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_chat_format, op7_url_filter, op9_mixing)}
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.classify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_bpe_automaton, op3_gif_media, op4_chat_format, op5_substring_dedup, op7_url_filter, op8_token_counts, op9_mixing, op10_minhash_dedup,
+    )
+}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -63,6 +104,17 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, body), '')) AS loss_sha256,
                CAST(sum(length(head) + length(body) + {len(chat_format.START + chat_format.MESSAGE + chat_format.END)}) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op5_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + {substring_dedup.WINDOW - 1}), ' ') AS g
+              FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {substring_dedup.WINDOW - 2})) AS i FROM w)),
+        f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+        d AS (SELECT DISTINCT doc_id, i + k AS pos FROM g JOIN f USING (g), range(0, {substring_dedup.WINDOW}) AS r(k) WHERE first < doc_id),
+        x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+        k AS (SELECT x.doc_id, count(d.pos) AS n_removed, string_agg(word, ' ' ORDER BY x.pos) FILTER (d.pos IS NULL) AS kept
+              FROM x LEFT JOIN d ON x.doc_id = d.doc_id AND x.pos = d.pos GROUP BY x.doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
     "op9_mixing": f"""
         WITH s AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM documents GROUP BY source),
         r AS (SELECT source, CASE WHEN chars > 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM s) * (SELECT sum(chars) FROM s)::DOUBLE * 1.0 / chars ELSE 1.0 END AS rate FROM s),
