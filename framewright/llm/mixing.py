@@ -37,7 +37,7 @@ def cumulative(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(first.alias("p"), F.array(first).alias("c")), step, lambda acc: acc["c"])
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", text_col: str = "text", budget: float = 1.0) -> DataFrame:
+def rates(docs: DataFrame, space: Workspace, weights: dict[str, float] | None = None, source_col: str = "source", text_col: str = "text", budget: float = 1.0) -> DataFrame:
     """A row for each source: source, chars, rate, draws, and the cumulative distribution of a draw.
 
     ``weights`` are the sources' target shares of all characters (default: equal
@@ -49,11 +49,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col:
         share = F.lit(1.0)
     else:
         share = F.coalesce(F.try_element_at(F.create_map(*(x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v))))), F.col("source")), F.lit(0.0))
-    sums = sums.withColumn("share", share)
-    total = sums.agg(F.sum("chars").alias("all_chars"), F.sum("share").alias("all_shares"))
-    both = sums.crossJoin(F.broadcast(total))  # one row of totals
-    rate = F.when(F.col("chars") > 0, F.col("share") / F.col("all_shares") * F.col("all_chars") * budget / F.col("chars")).otherwise(1.0)
-    out = both.select("source", "chars", rate.alias("rate"))
+    sums = space.save(sums.withColumn("share", share), "sums")
+    chars, shares = sums.agg(F.sum("chars"), F.sum("share")).first()  # two numbers
+    rate = F.when(F.col("chars") > 0, F.col("share") / F.lit(shares or 1.0) * F.lit(float(chars or 0)) * F.lit(float(budget)) / F.col("chars")).otherwise(1.0)
+    out = sums.select("source", "chars", rate.alias("rate"))
     out = out.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / UNIT_RATE)).cast("int"))
     return out.withColumn("cdf", cumulative(F.col("rate") / F.col("draws")))
 
@@ -66,7 +65,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     empty table gives an empty table. Columns named like the two new ones are replaced.
     """
     space = Workspace(docs.sparkSession, "mixing")
-    table = space.save(rates(docs, weights, source_col, text_col, budget).select(F.col("source").alias("__fw_source"), F.col("draws").alias("__fw_draws"), F.col("cdf").alias("__fw_cdf")), "rates")
+    table = space.save(rates(docs, space, weights, source_col, text_col, budget).select(F.col("source").alias("__fw_source"), F.col("draws").alias("__fw_draws"), F.col("cdf").alias("__fw_cdf")), "rates")
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     joined = docs.join(F.broadcast(table) if few else table, docs[source_col].eqNullSafe(table["__fw_source"]))
     one = lambda j: F.size(F.filter(F.col("__fw_cdf"), lambda c: c <= uniform(F.lit(seed), docs[id_col], j)))

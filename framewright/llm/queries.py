@@ -7,7 +7,7 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import bpe_automaton, chat_format, exact_dedup, gif_media, minhash_dedup, mixing, substring_dedup, token_counts, url_filter
+from framewright.llm import bpe_automaton, chat_format, exact_dedup, gif_media, minhash_dedup, mixing, substring_dedup, token_counts, toxicity, url_filter
 
 
 #: Where the public vocabulary files are; workers read them there.
@@ -52,6 +52,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -71,7 +76,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_exact_dedup, op2_bpe_automaton, op3_gif_media, op4_chat_format, op5_substring_dedup, op7_url_filter, op8_token_counts, op9_mixing, op10_minhash_dedup,
+        op1_exact_dedup, op2_bpe_automaton, op3_gif_media, op4_chat_format, op5_substring_dedup, op6_toxicity, op7_url_filter, op8_token_counts, op9_mixing, op10_minhash_dedup,
     )
 }
 
