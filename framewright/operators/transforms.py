@@ -168,9 +168,13 @@ def c1_split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, mid, np.concatenate([np.zeros(39), high])[: len(high)]
 
 
-def c1_merge(low: np.ndarray, mid: np.ndarray, high: np.ndarray) -> np.ndarray:
+def c1_merge(low: np.ndarray, mid: np.ndarray, high: np.ndarray, delay: int = 7) -> np.ndarray:
+    """The inverse of ``c1_split``, 138 samples late: with the 39 samples there, the high band waits 46 as the others do.
+
+    Decoders that put out a block's overlap first hold the lower bands back by 32 more, and use 39 here.
+    """
     rest = qmf_merge(low, mid)
-    return qmf_merge(rest, np.concatenate([np.zeros(39), high])[: len(high)])
+    return qmf_merge(rest, np.concatenate([np.zeros(delay), high])[: len(high)])
 
 
 def c2_split(x: np.ndarray) -> list[np.ndarray]:
