@@ -88,13 +88,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def grams(host: Column, path: Column, size: int = GRAM, buckets: int = BUCKETS) -> Column:
     """Bucket numbers of the character n-grams of host and path, each framed by markers."""
-    chars = F.split(F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$")), "")
-    chars = F.filter(chars, lambda c: c != "")
+    text = F.split(F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$")), "")
 
-    def gram(c: Column, k: Column) -> Column:
-        return F.pmod(F.xxhash64(F.array_join(F.slice(c, k, size), "")), F.lit(buckets)).cast("int")
+    def of(chars: Column) -> Column:
+        gram = lambda k: F.pmod(F.xxhash64(F.array_join(F.slice(chars, k, size), "")), F.lit(buckets)).cast("int")
+        return F.when(F.size(chars) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(chars) - (size - 1))), gram)).otherwise(F.array().cast("array<int>"))
 
-    return F.when(F.size(chars) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(chars) - (size - 1))), lambda k: gram(chars, k))).otherwise(F.array().cast("array<int>"))
+    # The characters are bound by a lambda, so that they are cut once and not again for every n-gram.
+    return F.get(F.transform(F.array(F.filter(text, lambda c: c != "")), of), 0)
 
 
 @dataclass(frozen=True)
@@ -107,8 +108,12 @@ class Model:
     def margin(self, buckets: Column) -> Column:
         """Log-odds of a block for n-gram buckets; n-grams count relative to the URL's number of them."""
         w = F.lit(list(self.weights))
-        total = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(w, b))
-        return total / F.sqrt(F.greatest(F.size(buckets), F.lit(1)).cast("double")) + F.lit(self.intercept)
+
+        def of(b: Column) -> Column:
+            total = F.aggregate(b, F.lit(0.0), lambda s, k: s + F.get(w, k))
+            return total / F.sqrt(F.greatest(F.size(b), F.lit(1)).cast("double")) + F.lit(self.intercept)
+
+        return F.get(F.transform(F.array(buckets), of), 0)
 
 
 def train(spark: SparkSession, rows: list[tuple[str, str, int]] | None = None, buckets: int = BUCKETS, steps: int = STEPS) -> Model:
