@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import tables as T
 from framewright.operators import sequence as Q
+from framewright.operators.framing import over_track
 
 NEUTRAL, REGION = 4, 8
 
@@ -41,13 +42,13 @@ def demodulate(current: np.ndarray, before: np.ndarray, now: list[tuple[int, int
 def curves(profiles: DataFrame, least: float = 1.5) -> DataFrame:
     """(track, ch, frame, target, points) of profiles (track, ch, frame, level, low, high arrays).
 
-    The last level of the frame before and the last target so far come from windows of a
-    track and channel, as each depends on its own frame alone.
+    Besides its own profile, a frame's curve needs the last level and the target of the
+    frame before, which depend on that frame alone.
     """
-    w = Window.partitionBy("track", "ch").orderBy("frame")
-    rows = profiles.withColumn("target", Q.curve_target(F.col("level")))
-    rows = rows.withColumn("last_level", F.coalesce(F.lag(F.element_at("level", -1)).over(w), F.lit(0.0)))
-    rows = rows.withColumn("last_target", F.coalesce(F.lag("target").over(w), F.lit(0.0)))
+    rows = profiles.withColumn("i", F.col("frame")).withColumn("target", Q.curve_target(F.col("level")))
+    rows = over_track(
+        rows, 1, 0, lambda w: {"last_level": F.lag(F.element_at("level", -1), 1, 0.0).over(w), "last_target": F.lag("target", 1, 0.0).over(w)}, 1024
+    )
     return rows.select("track", "ch", "frame", "target", Q.gain_curve(F.col("level"), F.col("low"), F.col("high"), F.col("last_level"), F.col("last_target"), F.lit(least)).alias("points"))
 
 
