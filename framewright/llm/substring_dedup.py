@@ -5,18 +5,21 @@ word sequence also starts in a document with a smaller id. Three passes:
 
 1. **Anchors.** Each document is cut into non-overlapping reference blocks of ``BLOCK``
    words, and these blocks are indexed. Every rolling window of ``BLOCK`` words of every
-   document probes the index. As ``WINDOW`` = 2 * ``BLOCK`` - 1, a shared window holds a
-   whole reference block, so documents without a hit share no window and are finished.
-2. **Extension.** The documents with hits compare all their windows, and a hit is
-   extended to the whole run of windows that have an earlier copy: the maximal exact
-   repeats of the document.
+   document probes the index. As ``WINDOW`` = 2 * ``BLOCK`` - 1, every window holds one
+   whole block of its own document; if the window stands in another document, too, the
+   block is hit by a probe of that one.
+2. **Extension.** Around the blocks that were hit, all windows are compared in full, and
+   a hit is extended to the whole run of windows that have an earlier copy: the maximal
+   exact repeats of the document.
 3. **Cut.** The words of these runs are left out of the text.
 
-Hashes travel as sorted arrays by bucket, not as rows. Before the exchange, each task
-keeps at most two entries of a block or window (the smallest and the largest id), so a
-passage that a third of all documents hold reaches its bucket as two entries per task.
-A window is identified by 64 bits of one hash within the bucket that another hash names;
-the number of buckets grows with ``spark.sql.shuffle.partitions``.
+Hashes travel as sorted, delta-coded arrays by bucket, not as rows, and texts travel
+compressed. Before the exchange, each task combines what it has: a probe needs no id and
+is sent at most twice, and blocks or windows that several documents of the task share are
+flagged there and sent for one of them at most. So a passage that a third of all documents
+hold reaches its bucket as two entries per task. A window is identified by 64 bits of one
+hash within the bucket that another hash names; the number of buckets grows with
+``spark.sql.shuffle.partitions``.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +40,26 @@ BLOCK = (WINDOW + 1) // 2
 #: Words whose hashes a worker holds before it sends them on.
 HELD = 2_000_000
 SLICE = 2048
-_KEYS = "bucket int, index_keys binary, index_docs binary, keys binary, docs binary"
+_SENT = "bucket int, index_keys binary, index_docs binary, keys binary, docs binary"
+_FLAGS = "shard int, docs binary, keys binary"
 _LOWEST = -(1 << 63)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """The bytes of an array, byte by byte significance: sorted keys and small ids compress well."""
-    return x.view(np.uint8).reshape(len(x), 8).T.tobytes()
+def _packed(x: np.ndarray, ascending: bool = False) -> bytes:
+    """The compressed bytes of an array of 64-bit numbers, byte by byte significance; differences of an ascending one."""
+    if ascending and len(x):
+        x = np.concatenate([x[:1], np.diff(x)])
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8).T.tobytes())
 
 
-def _unpacked(parts: list[bytes], kind: type) -> np.ndarray:
-    if not parts:
-        return np.zeros(0, kind)
-    return np.concatenate([np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(8, -1).T).reshape(-1).view(kind) for p in parts])
+def _unpacked(part: bytes, kind: type, ascending: bool = False) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.uint8) if part else np.zeros(0, np.uint8)
+    x = np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(kind)
+    return np.cumsum(x, dtype=kind) if ascending else x
+
+
+def _all(parts: list[bytes], kind: type, ascending: bool = False) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_unpacked(p, kind, ascending) for p in parts)])
 
 
 def _edges(keys: np.ndarray) -> np.ndarray:
@@ -58,30 +69,14 @@ def _edges(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def _extremes(buckets: np.ndarray, keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By bucket and key: each distinct key with its smallest and, where it differs, its largest document."""
-    order = np.argsort(keys)
-    order = order[np.argsort(buckets[order], kind="stable")]
-    b, k, d = buckets[order], keys[order], docs[order]
-    at = _edges(k) if len(k) else np.zeros(0, np.int64)
-    if not len(at):
-        return b, k, d
-    least, most = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
-    two = np.flatnonzero(most != least)
-    b, k = b[at], k[at]
-    b, k, d = np.insert(b, two + 1, b[two]), np.insert(k, two + 1, k[two]), np.insert(least, two + 1, most[two])
-    return b, k, d
-
-
-def _shared(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Documents that share one of ``keys`` with another document."""
-    order = np.argsort(keys)
-    k, d = keys[order], docs[order]
-    at = _edges(k)
-    if not len(at):
-        return d
-    differs = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
-    return np.unique(d[np.repeat(differs, np.diff(np.append(at, len(k))))])
+def _combined(names: np.ndarray, docs: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Sorted by name: where each run begins, the smallest document of each, whether it has several; and the sorted arrays."""
+    order = np.argsort(names)
+    names, docs = names[order], docs[order]
+    at = _edges(names)
+    least = np.minimum.reduceat(docs, at) if len(at) else docs
+    several = (np.maximum.reduceat(docs, at) if len(at) else docs) != least
+    return at, least, several, names, docs, order if extra is None else extra[order]
 
 
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -107,29 +102,68 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _rows_by_bucket(index: tuple | None, probes: tuple) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket with the packed keys and documents of (buckets, keys, docs) triples."""
-    triples = [index or tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64)), probes]
-    names = np.unique(np.concatenate([t[0] for t in triples]))
-    cuts = [(np.searchsorted(t[0], names), np.searchsorted(t[0], names, "right")) for t in triples]
+def _send(buckets: np.ndarray, index: tuple | None, keys: np.ndarray, docs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket. ``index`` has buckets, keys and documents of blocks; all are sorted by bucket and key."""
+    own = index or (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    names = np.unique(np.concatenate([own[0], buckets]))
+    cuts = [(np.searchsorted(b, names), np.searchsorted(b, names, "right")) for b in (own[0], buckets)]
     for k in range(0, len(names), 64):
         some = range(k, min(k + 64, len(names)))
-        columns = [pa.array(names[k : k + 64].astype(np.int32), pa.int32())]
-        for t, (lo, hi) in zip(triples, cuts, strict=True):
-            columns += [pa.array([_packed(t[c][lo[i] : hi[i]]) for i in some], pa.binary()) for c in (1, 2)]
-        yield pa.RecordBatch.from_arrays(columns, ["bucket", "index_keys", "index_docs", "keys", "docs"])
+        index_part, part = ([slice(lo[i], hi[i]) for i in some] for lo, hi in cuts)
+        columns = [
+            [_packed(own[1][x], True) for x in index_part], [_packed(own[2][x]) for x in index_part],
+            [_packed(keys[x], True) for x in part], [_packed(docs[x]) if docs is not None else b"" for x in part],
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 64].astype(np.int32), pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "index_keys", "index_docs", "keys", "docs"])
 
 
-def _flagged_rows(docs: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc_id, keys) rows of flagged windows."""
-    order = np.argsort(docs, kind="stable")
-    docs, keys = docs[order], keys[order]
-    at = _edges(docs)
-    end = np.append(at[1:], len(docs))
-    for k in range(0, len(at), 4096):
-        part = slice(k, k + 4096)
-        blobs = [keys[i:j].tobytes() for i, j in zip(at[part], end[part], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[at[part]], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "keys"])
+def _send_known(docs: np.ndarray, keys: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a task has flagged itself; negative buckets pass it on."""
+    for k in range(0, len(docs), 65536):
+        part = slice(k, k + 65536)
+        row = [pa.array([-1 - int(docs[k]) % buckets], pa.int32()), *[pa.array([b""], pa.binary())] * 2, pa.array([_packed(keys[part])], pa.binary()), pa.array([_packed(docs[part])], pa.binary())]
+        yield pa.RecordBatch.from_arrays(row, ["bucket", "index_keys", "index_docs", "keys", "docs"])
+
+
+def _by_shard(docs: np.ndarray, keys: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """Flagged (document, key) pairs by shard of the document."""
+    shard = docs % shards
+    order = np.lexsort((keys, docs, shard))
+    shard, docs, keys = shard[order], docs[order], keys[order]
+    at = _edges(shard)
+    end = np.append(at[1:], len(shard))[: len(at)]
+    for i, j in zip(at.tolist(), end.tolist(), strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array([shard[i]], pa.int32()), pa.array([_packed(docs[i:j], True)], pa.binary()), pa.array([_packed(keys[i:j])], pa.binary())], ["shard", "docs", "keys"])
+
+
+def _collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Input sorted by shard: one (doc_id, keys) row for each document of a shard."""
+    for _, parts in _grouped(batches):
+        docs, keys = _all(parts[0], np.int64, True), _all(parts[1], np.uint64)
+        order = np.argsort(docs, kind="stable")
+        docs, keys = docs[order], keys[order]
+        at = _edges(docs)
+        end = np.append(at[1:], len(docs))[: len(at)]
+        for k in range(0, len(at), 4096):
+            part = slice(k, k + 4096)
+            blobs = [keys[i:j].tobytes() for i, j in zip(at[part].tolist(), end[part].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[at[part]], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "keys"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The columns of each run of rows with one value in the first column."""
+    name, held = None, []
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
+            if row[0] != name or not held:
+                if held:
+                    yield name, held
+                name, held = row[0], [[] for _ in row[1:]]
+            for k, value in enumerate(row[1:]):
+                held[k].append(value)
+    if held:
+        yield name, held
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], collect: Callable) -> Iterator[list[np.ndarray]]:
@@ -150,83 +184,67 @@ def _gathered(batches: Iterator[pa.RecordBatch], collect: Callable) -> Iterator[
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def _anchor_names(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 32-bit key of the hashes of blocks, as one number that sorts by bucket first."""
+    return (h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) << np.uint64(32) | h >> np.uint64(32)
+
+
+def _blocks(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and start of all rolling windows of a block's size, and which of them are reference blocks."""
+    h, at = _rolling(words, rows, BLOCK)
+    return h, at, (at - np.searchsorted(rows, rows[at])) % BLOCK == 0
+
+
 def _anchors(buckets: int) -> Callable:
-    """Index blocks and probes of a task, by bucket. Documents that meet within the task are sent as probes that meet."""
+    """Index blocks and probes of a task, by bucket; blocks that several documents of the task have are flagged."""
 
     def collect(part, starts, ends, rows, ids):
-        h, at = _rolling(W.hash_words(part, starts, ends), rows, BLOCK)
-        first = np.searchsorted(rows, rows[at])  # the first word of the window's document
-        return h, ids[rows[at]], (at - first) % BLOCK == 0
+        h, at, block = _blocks(W.hash_words(part, starts, ends), rows)
+        return _anchor_names(h, buckets), ids[rows[at]], block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, docs, block in _gathered(batches, collect):
-            met = _shared(h, docs)
-            b = (h & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets
-            yield from _rows_by_bucket(_extremes(b[block], h[block], docs[block]), _extremes(b, h, docs))
-            for k in range(0, len(met), 4096):  # known already: negative buckets carry documents only
-                part = np.ascontiguousarray(met[k : k + 4096])
-                row = [pa.array([-1 - int(part[0] + k) % buckets], pa.int32()), *[pa.array([b""], pa.binary())] * 3, pa.array([_packed(part)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, ["bucket", "index_keys", "index_docs", "keys", "docs"])
+        for names, docs, block in _gathered(batches, collect):
+            at, _, several, names, docs, block = _combined(names, docs, block)
+            shared = np.repeat(several, np.diff(np.append(at, len(names))))
+            yield from _send_known(docs[block & shared], names[block & shared], buckets)
+            lone = np.flatnonzero(block & ~shared)
+            lone = lone[_edges(names[lone])]
+            probes = np.repeat(names[at], 1 + several)
+            yield from _send((probes >> np.uint64(32)).astype(np.int64), ((names[lone] >> np.uint64(32)).astype(np.int64), names[lone], docs[lone]), probes, None)
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """The rows of each bucket; the input is sorted by bucket."""
-    name, held = None, [[], [], [], []]
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns, strict=True):
-            if row[0] != name:
-                if name is not None:
-                    yield name, held
-                name, held = row[0], [[], [], [], []]
-            for k in range(4):
-                held[k].append(row[k + 1])
-    if name is not None:
-        yield name, held
+def _hit_blocks(shards: int) -> Callable:
+    """Flags of the blocks that a probe of another document meets. Input sorted by bucket."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for bucket, parts in _grouped(batches):
+            if bucket < 0:
+                docs.append(_all(parts[3], np.int64))
+                keys.append(_all(parts[2], np.uint64))
+                continue
+            index, owners, probes = _all(parts[0], np.uint64, True), _all(parts[1], np.int64), np.sort(_all(parts[2], np.uint64, True))
+            # Each document's own probe meets its block once; a second one comes from elsewhere.
+            place = np.searchsorted(probes, index)
+            hit = np.flatnonzero(np.append(probes, [np.uint64(0)] * 2)[place + 1] == index)
+            hit = hit[place[hit] + 1 < len(probes)]
+            docs.append(owners[hit])
+            keys.append(index[hit])
+        yield from _by_shard(np.concatenate(docs), np.concatenate(keys), shards)
 
-def _hit_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id of every document of which a rolling window met another's block, and of the block's."""
-    found = [np.zeros(0, np.int64)]
-    for name, parts in _by_bucket(batches):
-        docs = _unpacked(parts[3], np.int64)
-        if name < 0:
-            found.append(docs)
-            continue
-        index, owners, keys = _unpacked(parts[0], np.uint64), _unpacked(parts[1], np.int64), _unpacked(parts[2], np.uint64)
-        if not len(index):
-            continue
-        order = np.argsort(index)
-        index, owners = index[order], owners[order]
-        at = _edges(index)
-        known = index[at]
-        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[place] == keys
-        place, docs = place[hit], docs[hit]
-        lo, hi = np.minimum.reduceat(owners, at), np.maximum.reduceat(owners, at)
-        found.append(np.unique(docs[(lo[place] != docs) | (hi[place] != docs)]))
-        least, most = np.full(len(known), (1 << 63) - 1), np.full(len(known), _LOWEST)
-        np.minimum.at(least, place, docs)
-        np.maximum.at(most, place, docs)
-        which = np.repeat(np.arange(len(known)), np.diff(np.append(at, len(index))))
-        found.append(np.unique(owners[(least[which] != owners) | (most[which] != owners)]))
-    docs = np.unique(np.concatenate(found))
-    for k in range(0, len(docs), 65536):
-        yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + 65536], pa.int64())], ["doc_id"])
+    return run
 
 
 def _windows(buckets: int) -> Callable:
-    """All windows of a task by bucket; where several documents of the task have one, the first stands for it and the others are flagged."""
+    """Input (doc_id, packed text, keys of hit blocks): the windows around these blocks, by bucket.
 
-    def collect(part, starts, ends, rows, ids):
-        h, at = _rolling(W.hash_words(part, starts, ends), rows, WINDOW)
-        g, _ = _rolling(W.hash_words(part, starts, ends, 1), rows, WINDOW, 1)
-        return h, (g >> np.uint64(20)).astype(np.int64) % buckets, ids[rows[at]]
+    Where several documents of the task have a window, the first stands for it and the others are flagged.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, b, docs in _gathered(batches, collect):
+        for h, b, docs in _gathered_flagged(batches, buckets):
             order = np.argsort(h)
             order = order[np.argsort(b[order], kind="stable")]
             h, b, docs = h[order], b[order], docs[order]
@@ -234,32 +252,76 @@ def _windows(buckets: int) -> Callable:
             if not len(at):
                 continue
             least = np.minimum.reduceat(docs, at)
-            yield from _rows_by_bucket(None, (b[at], h[at], least))
+            yield from _send(b[at], None, h[at], least)
             later = docs != np.repeat(least, np.diff(np.append(at, len(h))))
-            if later.any():  # negative buckets carry flagged windows
-                pairs = np.unique(np.stack([docs[later], h[later].view(np.int64)], 1), axis=0)
-                for k in range(0, len(pairs), 65536):
-                    part = pairs[k : k + 65536]
-                    row = [pa.array([-1 - int(part[0, 0] + k) % buckets], pa.int32()), *[pa.array([b""], pa.binary())] * 2, pa.array([_packed(np.ascontiguousarray(part[:, 1]))], pa.binary()), pa.array([_packed(np.ascontiguousarray(part[:, 0]))], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(row, ["bucket", "index_keys", "index_docs", "keys", "docs"])
+            yield from _send_known(docs[later], h[later], buckets)
 
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, keys) of the windows that a document with a smaller id has, too."""
-    found_docs, found_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for name, parts in _by_bucket(batches):
-        keys, docs = _unpacked(parts[2], np.uint64), _unpacked(parts[3], np.int64)
-        if name >= 0:
-            order = np.argsort(keys)
-            keys, docs = keys[order], docs[order]
-            at = _edges(keys)
-            later = docs != np.repeat(np.minimum.reduceat(docs, at), np.diff(np.append(at, len(keys))))
-            keys, docs = keys[later], docs[later]
-        found_docs.append(docs)
-        found_keys.append(keys)
-    yield from _flagged_rows(np.concatenate(found_docs), np.concatenate(found_keys))
+def _gathered_flagged(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[list[np.ndarray]]:
+    held: list[tuple] = []
+    words = 0
+    for batch, flagged in _opened(batches):
+        ids = _ids(batch)
+        for _, part, starts, ends, rows in _words(batch):
+            plain = W.hash_words(part, starts, ends)
+            h, at, block = _blocks(plain, rows)
+            names, at = _anchor_names(h[block], buckets), at[block]
+            hit = np.zeros(len(starts) + BLOCK, bool)  # by first word of a block
+            bounds = np.searchsorted(rows[at], np.arange(len(ids) + 1))
+            for i in np.unique(rows[at]).tolist():
+                own = slice(bounds[i], bounds[i + 1])
+                hit[at[own]] = np.isin(names[own], flagged[i])
+            w, at = _rolling(plain, rows, WINDOW)
+            g, _ = _rolling(W.hash_words(part, starts, ends, 1), rows, WINDOW, 1)
+            first = np.searchsorted(rows, rows[at])
+            near = hit[at + (first - at) % BLOCK]  # the one block of its document that lies in the window
+            held.append((w[near], (g[near] >> np.uint64(20)).astype(np.int64) % buckets, ids[rows[at[near]]]))
+            words += int(near.sum())
+            if words >= HELD:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, words = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _repeats(shards: int) -> Callable:
+    """Flags of the windows that a document with a smaller id has, too. Input sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found_docs, found_keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for bucket, parts in _grouped(batches):
+            keys, docs = _all(parts[2], np.uint64, bucket >= 0), _all(parts[3], np.int64)
+            if bucket >= 0:
+                at, least, _, keys, docs, _ = _combined(keys, docs)
+                later = docs != np.repeat(least, np.diff(np.append(at, len(keys))))
+                keys, docs = keys[later], docs[later]
+            found_docs.append(docs)
+            found_keys.append(keys)
+        yield from _by_shard(np.concatenate(found_docs), np.concatenate(found_keys), shards)
+
+    return run
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """(doc_id, packed text, keys) rows as (doc_id, text) batches with the keys of each row."""
+    opener = zstandard.ZstdDecompressor()
+    for whole in batches:
+        for k in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(k, SLICE)
+            texts = pa.array([opener.decompress(x) for x in batch.column(1).to_pylist()], pa.large_binary()).cast(pa.large_string())
+            flagged = [np.frombuffer(x or b"", np.uint64) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["doc_id", "text"]), flagged
+
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (doc_id, packed text)."""
+    packer = zstandard.ZstdCompressor(level=1)
+    for whole in batches:
+        for k in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(k, SLICE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
 
 
 def _joined(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, first: int, n: int) -> list[bytes]:
@@ -286,14 +348,14 @@ def _result(ids, n_words, n_removed, spans, kept) -> list[pa.Array]:
     return [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary()).cast(pa.string())]
 
 
-def _cut(batch: pa.RecordBatch, flagged: list[np.ndarray] | None) -> Iterator[list[pa.Array]]:
+def _cut(batch: pa.RecordBatch, flagged: list[np.ndarray]) -> Iterator[list[pa.Array]]:
     """Results of the documents of a batch; ``flagged`` has the sorted keys of each one's repeated windows."""
     ids = _ids(batch)
     for docs, part, starts, ends, rows in _words(batch):
         n, first = len(docs), int(docs[0])
         n_words = np.bincount(rows - first, minlength=n)
         gone = np.zeros(len(starts), bool)
-        if flagged is not None and len(starts):
+        if any(len(flagged[i]) for i in docs.tolist()):
             h, at = _rolling(W.hash_words(part, starts, ends), rows, WINDOW)
             bounds = np.searchsorted(rows[at], np.arange(first, first + n + 1))
             change = np.zeros(len(starts) + 1, np.int64)
@@ -318,29 +380,11 @@ def _cut(batch: pa.RecordBatch, flagged: list[np.ndarray] | None) -> Iterator[li
         yield _result(ids[docs], n_words, removed, spans, kept)
 
 
-def _finish_or_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input (doc_id, text, hit). Documents without hits are finished; those with hits keep their text."""
-    names = ["doc_id", "n_words", "n_removed", "removed", "kept", "text"]
-    for whole in batches:
-        for k in range(0, whole.num_rows, SLICE):
-            batch = whole.slice(k, SLICE)
-            hit = batch.column(2)
-            waiting = batch.filter(hit)
-            nothing = pa.nulls(len(waiting))
-            yield pa.RecordBatch.from_arrays([waiting.column(0), nothing.cast(pa.int64()), nothing.cast(pa.int64()), nothing.cast(_SPANS), nothing.cast(pa.string()), waiting.column(1)], names)
-            done = batch.filter(pa.compute.invert(hit))
-            for columns in _cut(done, None) if len(done) else ():
-                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0])).cast(pa.string())], names)
-
-
 def _cut_flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input (doc_id, text, keys: list of arrays)."""
-    for whole in batches:
-        for k in range(0, whole.num_rows, SLICE):
-            batch = whole.slice(k, SLICE)
-            flagged = [np.unique(np.frombuffer(b"".join(x or ()), np.uint64)) for x in batch.column(2).to_pylist()]
-            for columns in _cut(batch, flagged):
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "removed", "kept"])
+    """Input (doc_id, packed text, keys of repeated windows)."""
+    for batch, flagged in _opened(batches):
+        for columns in _cut(batch, flagged):
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "removed", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -359,20 +403,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lowest = F.lit(_LOWEST).cast("long")
     base = docs.select(F.coalesce(docs[id_col].cast("long"), lowest).alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
-    def exchanged(df: DataFrame) -> DataFrame:
-        return df.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    def exchanged(df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(partitions, key).sortWithinPartitions(key)
 
-    hits = exchanged(base.mapInArrow(_anchors(buckets), _KEYS)).mapInArrow(_hit_documents, "doc_id long").distinct()
-    hits = space.save(hits, "hits")
-    space.release()
-    marked = base.join(hits.withColumn("hit", F.lit(True)), "doc_id", "left").select("doc_id", "text", F.coalesce("hit", F.lit(False)).alias("hit"))
-    parts = space.save(marked.mapInArrow(_finish_or_pass, f"{_RESULT}, text string"), "parts")
-    space.release()
-    waiting = parts.where("text IS NOT NULL").select("doc_id", "text")
-    repeats = exchanged(waiting.mapInArrow(_windows(buckets), _KEYS)).mapInArrow(_repeats, "doc_id long, keys binary")
-    repeats = space.save(repeats, "repeats")
+    def flags(sent: DataFrame, match: Callable, name: str) -> DataFrame:
+        """(doc_id, keys) of what ``match`` finds in the buckets of ``sent``."""
+        found = exchanged(exchanged(sent, "bucket").mapInArrow(match(partitions), _FLAGS), "shard")
+        found = space.save(found.mapInArrow(_collected, "doc_id long, keys binary"), name)
+        space.release()
+        return found
+
+    hits = flags(base.mapInArrow(_anchors(buckets), _SENT), _hit_blocks, "hits")
+    marked = base.mapInArrow(_squeeze, "doc_id long, packed binary").join(hits, "doc_id", "left")
+    texts = space.save(marked.select("doc_id", "packed", "keys"), "texts")
     space.release()
-    own = waiting.join(repeats.groupBy("doc_id").agg(F.collect_list("keys").alias("keys")), "doc_id", "left")
-    cut = own.select("doc_id", "text", "keys").mapInArrow(_cut_flagged, _RESULT)
-    done = parts.where("text IS NULL").drop("text").unionByName(cut)
-    return done.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
+    repeats = flags(texts.where("keys IS NOT NULL").mapInArrow(_windows(buckets), _SENT), _repeats, "repeats")
+    own = texts.drop("keys").join(repeats, "doc_id", "left").select("doc_id", "packed", "keys")
+    cut = own.mapInArrow(_cut_flagged, _RESULT)
+    return cut.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
