@@ -12,10 +12,11 @@ documents are linked when 100 * intersection >= 85 * union of their full sets.
   probability of at least 1 - (1 - 0.85**6)**40 > 1 - 1e-8.
 * Verification on full sets, in two rounds. First every member of a bucket is compared
   with the bucket's leader, the member whose buckets are largest in all, which is as
-  good as the centre of a group of copies. Then, in the buckets whose members are not all
-  in one component yet, members of different components are compared with each other;
-  pairs whose signatures agree in too few places for a link are left out (a linked pair
-  is 7 standard deviations above that bound). No pair is capped or sampled away.
+  good as the centre of a group of copies. Then, where the members of a leader's buckets
+  are not all in one component yet, members of different components are compared with each
+  other. They stand there as their differences from the leader, from which every
+  intersection follows exactly; only links that join components leave the task. Large
+  groups are cut into blocks that are compared two by two. No pair is capped or sampled away.
 * Union-find over the verified links, distributed.
 """
 
@@ -35,8 +36,6 @@ from framewright.llm.workspace import Workspace
 SHINGLE, BANDS, ROWS = 3, 40, 6
 PLACES = BANDS * ROWS
 PERCENT = 85
-#: Least number of agreeing signature places (of 240; a link has 204 on average, with a standard deviation of 5.5).
-AGREE = 165
 #: Levels whose permutations are traced back; later levels, which only small sets reach, keep them as arrays.
 TRACED = 8
 #: Elements that are dealt at once; members of a bucket that are compared at once.
@@ -128,7 +127,7 @@ def set_keys(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> doc_id, n_shingles, key1, key2, bands, signature."""
+    """(doc_id, text) -> doc_id, n_shingles, key1, key2, bands."""
     for whole in batches:
         for at in range(0, whole.num_rows, SLICE):
             batch = whole.slice(at, SLICE)
@@ -151,14 +150,12 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r in range(ROWS):
                     bands = bands * _STEP + by[:, :, r]
                 bands = W.mix(bands + np.arange(BANDS, dtype=np.uint64) * _OTHER).view(np.int64)
-                signature = (bits >> np.uint64(56)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, n), pa.array(count, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1), pa.int64())),
-                        pa.array([s.tobytes() for s in signature], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "key1", "key2", "bands", "signature"],
+                    ["doc_id", "n_shingles", "key1", "key2", "bands"],
                 )
 
 
@@ -197,38 +194,86 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of members of different components in a bucket whose sizes and signatures allow a link.
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lead, sid, shingles of both) -> lead, sid, size of the leader's set, what the member lacks of it, what it has beside it."""
+    for batch in batches:
+        size, lacks, adds = [], [], []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            size.append(len(x))
+            lacks.append(np.setdiff1d(x, y, assume_unique=True).tobytes())
+            adds.append(np.setdiff1d(y, x, assume_unique=True).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(lacks, pa.binary()), pa.array(adds, pa.binary())], ["lead", "sid", "size", "lacks", "adds"])
+
+
+class _Marks:
+    """Sets of hashes as numbers, to count the common elements of one of them with all."""
+
+    def __init__(self, blobs: list[bytes]):
+        self.length = np.array([len(b) // 8 for b in blobs])
+        flat = np.frombuffer(b"".join(blobs), np.uint64)
+        names, self.number = np.unique(flat, return_inverse=True)
+        self.ends = np.cumsum(self.length)
+        self.marked = np.zeros(len(names), bool)
+
+    def common(self, k: int) -> np.ndarray:
+        own = self.number[self.ends[k] - self.length[k] : self.ends[k]]
+        self.marked[own] = True
+        sums = np.concatenate([[0], np.cumsum(self.marked[self.number])])
+        self.marked[own] = False
+        return sums[self.ends] - sums[self.ends - self.length]
+
 
-    Input, sorted by bucket and block pair: bucket, i, j, sid, block, root, n, signature.
+def joining_links(block: np.ndarray, root: np.ndarray, lead_size: int, lacks: list[bytes], adds: list[bytes], cross: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs of members that are linked and join two components, directly or by earlier pairs.
+
+    With ``cross``, only members of different blocks are compared.
     """
+    less, more = _Marks(lacks), _Marks(adds)
+    n = lead_size - less.length + more.length
+    above = {r: r for r in set(root.tolist())}
+
+    def top(r: int) -> int:
+        while above[r] != r:
+            above[r] = above[above[r]]
+            r = above[r]
+        return r
+
+    names, count = np.unique(root, return_counts=True)
+    main = names[count.argmax()]
+    out = []
+    for x in np.flatnonzero(root != main).tolist():  # two members of the main component need no comparison
+        both = lead_size - less.length[x] - less.length + less.common(x) + more.common(x)
+        good = (100 * both >= percent * (n[x] + n - both)) & (root != root[x])
+        if cross:
+            good &= block != block[x]
+        for y in np.flatnonzero(good).tolist():
+            a, b = top(int(root[x])), top(int(root[y]))
+            if a != b:
+                above[max(a, b)] = min(a, b)
+                out.append((x, y))
+    return out
+
 
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        sid, root, n, block = (np.array([r[c] for r in rows], np.int64) for c in (3, 5, 6, 4))
-        marks = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), PLACES)
-        order = np.argsort(n, kind="stable")
-        sid, root, n, block, marks = sid[order], root[order], n[order], block[order], marks[order]
-        cross = rows[0][1] != rows[0][2]
-        for x in range(len(rows)):
-            end = int(np.searchsorted(n, 100 * n[x] // PERCENT, "right"))
-            other = np.arange(x + 1, end)
-            other = other[root[other] != root[x]]
-            if cross:
-                other = other[block[other] != block[x]]
-            other = other[(marks[other] == marks[x]).sum(1) >= AGREE]
-            if len(other):
-                lo, hi = np.minimum(sid[other], sid[x]), np.maximum(sid[other], sid[x])
-                yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between different components. Input, sorted by leader and block pair: lead, i, j, sid, block, root, size, lacks, adds."""
+
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        sid, block, root = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5))
+        found = joining_links(block, root, rows[0][6], [r[7] for r in rows], [r[8] for r in rows], rows[0][1] != rows[0][2])
+        if found:
+            x, y = sid[[f[0] for f in found]], sid[[f[1] for f in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and held[0][:3] != row[:3]:
-                yield from pairs(held)
+                yield from links(held)
                 held = []
             held.append(row)
     if held:
-        yield from pairs(held)
+        yield from links(held)
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,8 +288,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     space = Workspace(spark, "minhash-dedup")
     lowest = F.lit(_LOWEST).cast("long")
     base = docs.select(F.coalesce(docs[id_col].cast("long"), lowest).alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    marks = space.save(base.mapInArrow(_mark, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, signature binary"), "marks")
-    sets = marks.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    marks = space.save(base.mapInArrow(_mark, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "marks")
+    sets = marks.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     sets = space.save(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
     space.release()
 
@@ -264,26 +309,29 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     full = space.save(full, "full")
     space.release()
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def with_sets(pairs: DataFrame) -> DataFrame:
         a, b = (full.select(F.col("sid").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in "ab")
-        return pairs.join(b, "b").join(a, "a").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_verify, "a long, b long")
+        return pairs.join(b, "b").join(a, "a").select("a", "b", "shingles_a", "shingles_b")
 
-    links = space.save(verified(stars), "links-1")
+    links = space.save(with_sets(stars).mapInArrow(_verify, "a long, b long"), "links-1")
     space.release()
     first = components(links, space, "components-1")
 
-    # Buckets that hold several components still.
-    rooted = shared.join(first, shared["sid"] == first["node"], "left").select("bucket", "sid", "size", F.coalesce("root", "sid").alias("root"))
-    rooted = space.save(rooted, "rooted")
-    undecided = space.save(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket"), "undecided")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = rooted.join(undecided, "bucket").withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    members = members.join(sets.select("sid", F.col("n_shingles").alias("n"), "signature"), "sid")
-    members = members.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "block", "root", "n", "signature")
-    dealt = members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = space.save(dealt.mapInArrow(_cross, "a long, b long").distinct(), "pairs-2")
+    # Leaders whose buckets hold several components still.
+    led = stars.select(F.col("a").alias("lead"), F.col("b").alias("sid")).union(leads.select("lead", F.col("lead").alias("sid")).distinct())
+    rooted = space.save(led.join(first, led["sid"] == first["node"], "left").select("lead", "sid", F.coalesce("root", "sid").alias("root")), "rooted")
+    groups = rooted.groupBy("lead").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("lead", "members")
+    groups = space.save(groups, "groups")
+    members = space.save(rooted.join(groups, "lead"), "members")
+    differences = with_sets(members.select(F.col("lead").alias("a"), F.col("sid").alias("b"))).mapInArrow(_differences, "lead long, sid long, size long, lacks binary, adds binary")
+    differences = space.save(differences, "differences")
+    space.release()
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.join(differences, ["lead", "sid"]).select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "block", "root", "size", "lacks", "adds")
+    more = dealt.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(_cross, "a long, b long")
+    links = links.union(space.save(more, "links-2"))
     space.release()
-    links = links.union(space.save(verified(more), "links-2"))
     roots = components(links, space, "components-2")
 
     joined = sets.join(roots, sets["sid"] == roots["node"], "left").select("key1", "key2", "n_shingles", "rep", F.coalesce("root", "sid").alias("root"))
