@@ -3,13 +3,14 @@
 Encoding and decoding are kernels on runs of frames. Every filter and transform has a
 finite memory, so a track is cut into pieces of ``PIECE`` frames that carry ``HISTORY``
 frames before them; pieces are independent tasks. Only the loudness mean has a long
-memory; a piece's history is long enough for its weight to fall below the resolution of
-the allocation.
+memory: a piece changes it to ``DECAY**updates * mean + gain``. A first pass finds these
+two numbers of every piece, and a scan over them the mean that each piece begins with.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,7 @@ from framewright.operators import coding as C
 from framewright.operators import transforms as L
 
 FRAME, PIECE, HISTORY = 512, 256, 8
+DECAY, LOUDNESS = 0.98, 0.006
 BANDS = (128, 128, 256)
 _LONG, _SHORT = np.array(T.C1_STARTS), np.array(T.c1_short_starts())
 _WIDTHS = np.array(T.C1_WIDTHS)
@@ -166,20 +168,32 @@ def unpack(data: bytes) -> tuple[np.ndarray, tuple[bool, bool, bool]]:
     return spectrum, short
 
 
-def encode_samples(x: np.ndarray) -> list[bytes]:
-    """Frames of a channel that starts from silence; a short last frame is filled with zeros. Samples lie in [-1, 1]."""
+def _analysed(x: np.ndarray) -> Iterator[tuple[np.ndarray, tuple[bool, bool, bool], float]]:
+    """Spectrum, block modes and weighted loudness of each frame of a channel that starts from silence; the loudness is 0 with short blocks."""
     frames = -(-len(x) // FRAME)
     bands = L.c1_split(np.pad(x, (0, frames * FRAME - len(x))))
-    out, loudness, before = [], 0.006, [None] * 3
+    before = [None] * 3
     for f in range(frames):
         short = []
         for b, size in enumerate(BANDS):
             flag, before[b] = short_blocks(bands[b], f * size, size, before[b])
             short.append(flag)
         spectrum = np.concatenate([_band_spectrum(bands[b], f * size, size, short[b]) for b, size in enumerate(BANDS)])
+        yield spectrum, tuple(short), 0.0 if any(short) else float((spectrum**2 * _curve()).sum())
+
+
+def encode_samples(x: np.ndarray, loudness: float = LOUDNESS, history: int = 0) -> list[bytes]:
+    """Frames of a channel that starts from silence; a short last frame is filled with zeros. Samples lie in [-1, 1].
+
+    The first ``history`` frames only fill the filters; ``loudness`` is the mean after them.
+    """
+    out = []
+    for f, (spectrum, short, weighted) in enumerate(_analysed(x)):
+        if f < history:
+            continue
         if not any(short):
-            loudness = 0.98 * loudness + 0.02 * float((spectrum**2 * _curve()).sum())
-        out.append(pack(spectrum, tuple(short), loudness))
+            loudness = DECAY * loudness + (1 - DECAY) * weighted
+        out.append(pack(spectrum, short, loudness))
     return out
 
 
@@ -210,23 +224,56 @@ def _pieces(rows: DataFrame, frame: str, history: int) -> DataFrame:
     return rows.withColumn("piece", F.explode(F.sequence(home, F.floor((F.col(frame) + history) / PIECE))))
 
 
+def _piece_samples(pdf: pd.DataFrame, stop: int) -> tuple[np.ndarray, int]:
+    """Samples of a piece with its history, up to frame ``stop``, and the frames of history."""
+    first = max(0, int(pdf["piece"].iloc[0]) * PIECE - HISTORY)
+    x = np.zeros((stop - first) * FRAME)
+    x[pdf["i"].to_numpy() - first * FRAME] = pdf["x"].fillna(0.0).to_numpy()
+    return x, int(pdf["piece"].iloc[0]) * PIECE - first
+
+
+def _entry_loudness(cut: DataFrame) -> DataFrame:
+    """(track, ch, piece, loudness): the loudness mean that a piece begins with, from a row for each piece."""
+
+    def change(pdf: pd.DataFrame) -> pd.DataFrame:
+        piece = int(pdf["piece"].iloc[0])
+        x, history = _piece_samples(pdf, (piece + 1) * PIECE)
+        updates, gain = 0, 0.0
+        for f, (_, short, weighted) in enumerate(_analysed(x)):
+            if f >= history and not any(short):
+                updates, gain = updates + 1, DECAY * gain + (1 - DECAY) * weighted
+        return pd.DataFrame({"track": [pdf["track"].iloc[0]], "ch": [int(pdf["ch"].iloc[0])], "piece": [piece], "updates": [updates], "gain": [gain]})
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("piece")
+        mean, after, found = LOUDNESS, 0, []
+        for piece, updates, gain in zip(pdf["piece"], pdf["updates"], pdf["gain"], strict=True):
+            # Pieces without samples are silent: all frames count, but for the first of a track, which is flagged.
+            mean *= DECAY ** ((piece - after) * PIECE - (after == 0 and piece > 0))
+            found.append(mean)
+            mean, after = DECAY**updates * mean + gain, piece + 1
+        return pd.DataFrame({"track": pdf["track"], "ch": pdf["ch"], "piece": pdf["piece"], "loudness": found})
+
+    changes = cut.groupBy("track", "ch", "piece").applyInPandas(change, "track string, ch int, piece long, updates long, gain double")
+    return changes.groupBy("track", "ch").applyInPandas(scan, "track string, ch int, piece long, loudness double")
+
+
 def encode(signal: DataFrame) -> DataFrame:
     """(track, ch, frame, payload) of a signal (track, ch, i, x) with samples in [-1, 1]; missing samples are zero."""
     cut = _pieces(signal.withColumn("frame", F.floor(F.col("i") / FRAME)), "frame", HISTORY)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         piece = int(pdf["piece"].iloc[0])
-        first = max(0, piece * PIECE - HISTORY)
         last = int(pdf["frame"].max())
         if last < piece * PIECE:
             return pd.DataFrame({"track": [], "ch": [], "frame": [], "payload": []})
-        x = np.zeros((last - first + 1) * FRAME)
-        x[pdf["i"].to_numpy() - first * FRAME] = pdf["x"].fillna(0.0).to_numpy()
-        frames = encode_samples(x)[piece * PIECE - first :]
+        x, history = _piece_samples(pdf, last + 1)
+        frames = encode_samples(x, float(entry["loudness"].iloc[0]), history)
         n = len(frames)
         return pd.DataFrame({"track": [pdf["track"].iloc[0]] * n, "ch": [int(pdf["ch"].iloc[0])] * n, "frame": range(piece * PIECE, piece * PIECE + n), "payload": frames})
 
-    return cut.groupBy("track", "ch", "piece").applyInPandas(run, "track string, ch int, frame long, payload binary")
+    keys = ["track", "ch", "piece"]
+    return cut.groupBy(*keys).cogroup(_entry_loudness(cut).groupBy(*keys)).applyInPandas(run, "track string, ch int, frame long, payload binary")
 
 
 def decode(frames: DataFrame) -> DataFrame:

@@ -104,6 +104,20 @@ def test_codec_pieces_equal_the_whole(spark):
     assert got == K.encode_samples(np.array([r[3] for r in rows]))
 
 
+def test_codec_pieces_carry_the_loudness(spark):
+    """Pieces of a loud, then faint signal with a gap of more than one piece: the mean decides which units get bits."""
+    n, start, gap = 512 * 530, 512 * 270, 512 * 700
+    i = np.arange(n)
+    x = np.where(i < 512 * 262, 0.9, 0.02) * np.sin(0.05 * i) + RNG.normal(size=n) * 3e-5
+    at = i + np.where(i >= start, gap, 0)
+    whole = np.zeros(n + gap)
+    whole[at] = x
+    want = K.encode_samples(whole)
+    df = spark.createDataFrame([("t", 0, int(k), float(v)) for k, v in zip(at, x, strict=True)], "track string, ch int, i long, x double")
+    got = {r.frame: bytes(r.payload) for r in K.encode(df).collect()}
+    assert set(got) >= set((at // 512).tolist()) and [f for f in sorted(got) if got[f] != want[f]] == []
+
+
 def test_tone_search():
     t = np.arange(128)
     x = 2.0 * np.sin(0.3 * t + 1.0) + 0.5 * np.sin(1.1 * t + 2.0)
