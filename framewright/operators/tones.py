@@ -82,7 +82,7 @@ def crossfade(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return before * (1 - w) + after * w
 
 
-def tone_frames(frames: DataFrame, x: str = "x", most: int = 8) -> DataFrame:
+def tone_frames(frames: DataFrame, x: str = "x", most: int = 48) -> DataFrame:
     """(track, ch, frame, tone, frequency, phase, magnitude) by matching pursuit on every frame; frames without tones give no rows."""
     import pandas as pd
 

@@ -42,9 +42,9 @@ def gain_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tone_pursuit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sinusoids of every vector."""
+    """Sinusoids of every vector: as many as the search finds above its gate, 48 at most."""
     v = S.vectors(spark, sf_dir)
-    return N.tone_frames(v.select(F.col("label").cast("string").alias("track"), F.lit(0).alias("ch"), F.col("vec_id").alias("frame"), "x"), most=4)
+    return N.tone_frames(v.select(F.col("label").cast("string").alias("track"), F.lit(0).alias("ch"), F.col("vec_id").alias("frame"), "x"))
 
 
 def upsampled(spark: SparkSession, sf_dir: str) -> DataFrame:

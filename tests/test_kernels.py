@@ -11,6 +11,7 @@ from framewright.operators import gain as G
 from framewright.operators import tones as N
 from framewright.operators import transforms as L
 from framewright.plans import codec as K
+from framewright.plans import kernels
 
 RNG = np.random.default_rng(7)
 
@@ -131,3 +132,14 @@ def test_tone_search():
 def test_tone_synthesis_fades():
     y = N.synthesise([(64, 20, 0)], 128, True, True)
     assert abs(y[0]) <= abs(y[8:40]).max() and np.allclose(N.crossfade(y, y), y)
+
+
+def test_tone_query_finds_all_tones(spark, tmp_path):
+    """A row for every tone that the search finds above its gate, on vectors of five to ten of them."""
+    t = np.arange(64)
+    x = [sum((0.8**k) * np.sin((0.25 + 0.27 * k) * t + k) for k in range(n)) for n in (5, 7, 10)]
+    df = spark.createDataFrame([(k, k, v.tolist()) for k, v in enumerate(x)], "vec_id long, label int, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.frame, r.tone): r.frequency for r in kernels.QUERIES["tone_pursuit"](spark, str(tmp_path)).collect()}
+    assert got == {(f, k): w for f, v in enumerate(x) for k, (w, _, _) in enumerate(N.pursuit(v))}
+    assert min(sum(f == g for g, _ in got) for f in range(3)) >= 5
