@@ -107,6 +107,13 @@ def payload_double_and_reverse(spark, sf_dir):
     return d.select("doc_id", F.md5(P.double_mono(s)).alias("doubled"), P.byte_reverse(s).cast("string").alias("reversed"))
 
 
+@query()
+def payload_text_double_and_reverse(spark, sf_dir):
+    """``payload_double_and_reverse`` for the bytes of texts; DuckDB reverses characters, not bytes."""
+    t = F.col("text").cast("binary")
+    return S.table(spark, sf_dir, "documents").select("doc_id", F.md5(P.double_mono(t)).alias("doubled"), P.byte_reverse(t).alias("reversed"))
+
+
 @query(f"""SELECT vec_id, 0 AS ch, x FROM ({V}) UNION ALL SELECT vec_id, 1, list_transform(x, lambda v: v * 0.0) FROM ({V})""")
 def silent_side(spark, sf_dir):
     return P.silent_side(S.vectors(spark, sf_dir).select("vec_id", F.lit(0).alias("ch"), "x"))
@@ -239,6 +246,14 @@ def dct4_16(spark, sf_dir):
     return _rows(S.vectors(spark, sf_dir).select("vec_id", L.dct4(F.slice("x", 1, 16), 16).alias("y")))
 
 
+@query(f"""WITH l AS ({LINES}) SELECT vec_id, CAST(line // 16 AS INT) AS block, CAST(k AS INT) AS k, round(sum(c * cos(pi() / 16 * (line % 16 + 0.5) * (k + 0.5))), 6) + 0.0 AS c FROM l, range(0, 16) AS g(k) GROUP BY 1, 2, 3""")
+def dct4_16_blocks(spark, sf_dir):
+    """``dct4_16`` for all four blocks of a vector."""
+    cut = S.vectors(spark, sf_dir).select("vec_id", F.posexplode(F.array(*(F.slice("x", b * 16 + 1, 16) for b in range(4)))).alias("block", "x"))
+    y = cut.select("vec_id", "block", L.dct4(F.col("x"), 16).alias("y"))
+    return y.select("vec_id", "block", F.posexplode("y").alias("k", "c")).withColumn("c", F.round("c", 6) + 0.0)
+
+
 @query(f"""WITH l AS ({LINES}), s AS (SELECT vec_id, k, sum(c * cos(2 * pi() * k * line / 64)) AS a, sum(c * sin(2 * pi() * k * line / 64)) AS b FROM l, range(0, 33) AS g(k) GROUP BY 1, 2)
     SELECT vec_id, CAST(k AS INT) AS k, round(a * a + b * b, 6) + 0.0 AS c FROM s""")
 def power_spectrum(spark, sf_dir):

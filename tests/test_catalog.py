@@ -16,6 +16,14 @@ def test_rows(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_payload_of_texts(spark, sf_dir):
+    import hashlib
+
+    want = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = catalog.QUERIES["payload_text_double_and_reverse"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.doubled, bytes(r.reversed)) for r in got} == {d: (hashlib.md5(t + t).hexdigest(), t[::-1]) for d, t in want.items()}
+
+
 def test_entry(spark):
     import __spark_entry__
 
