@@ -69,12 +69,14 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; edge cases as in ``classify``.
+    """The rows of ``docs`` that stay, with all their columns; edge cases as in ``classify``, but rows with a null id all stay.
 
-    Only the identifiers of losers are joined; where nothing repeats, that side is empty.
+    Only the identifiers and digests of losers are joined; where nothing repeats, that side
+    is empty. A row that has the id of a loser, but another text, stays.
     """
     space = Workspace(docs.sparkSession, "exact-dedup")
-    losers = classify(docs, id_col, text_col, salts).where("NOT kept").select(F.col("doc_id").alias("__fw_loser"))
+    losers = classify(docs, id_col, text_col, salts).where("NOT kept").select(F.col("doc_id").alias("__fw_loser"), F.col("text_sha256").alias("__fw_digest"))
     losers = space.save(losers, "losers")
     space.release()
-    return docs.join(losers, docs[id_col] == losers["__fw_loser"], "left_anti")
+    same = (docs[id_col] == losers["__fw_loser"]) & (F.sha2(normalised(docs[text_col]), 256) == losers["__fw_digest"])
+    return docs.join(losers, same, "left_anti")

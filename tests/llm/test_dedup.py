@@ -54,6 +54,11 @@ def test_exact(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _ in rows if d not in losers or d is None), key=str)
 
 
+def test_exact_dedup_judges_a_reused_id_by_its_text(spark):
+    rows = [(1, "twice"), (2, "TWICE"), (1, "once")]
+    assert sorted((r.doc_id, r.text) for r in exact_dedup.dedup(table(spark, rows)).collect()) == [(1, "once"), (2, "TWICE")]
+
+
 def brute_repeats(rows):
     low = -(1 << 63)
     words = [(low if d is None else d, WORD.findall(t or "")) for d, t in rows]
