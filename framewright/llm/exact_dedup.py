@@ -10,7 +10,9 @@ three stages, and each compares the full normalised text beside its digest:
 A text that a third of all rows share therefore reaches a task as a few rows per
 upstream task, never as all its rows. The result goes back to the documents by
 (digest, salt, two more content hashes), so that a hot text is dealt over ``salts``
-keys; skewed ones among them are split by AQE, as both sides are plain shuffles.
+keys; skewed ones among them are split by AQE, as both sides are plain shuffles. This
+lookup alone compares no texts: a false match would need equal SHA-256, a second 64-bit
+hash and equal length.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.workspace import Workspace
 
+#: Salts of a digest; at most 64, as the salts that were met are the bits of a long.
 SALTS = 64
 
 
@@ -46,8 +49,9 @@ def _classes(keyed: DataFrame) -> DataFrame:
     """A row for each (digest, salt) with the winner and the size of its whole group."""
     content = ["digest", "check", "bytes", "norm"]
     salted = keyed.groupBy("salt", *content).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    whole = salted.groupBy(*content).agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("met"))
-    return whole.select("digest", "check", "bytes", F.explode("met").alias("salt"), "keep_id", "group_size")
+    whole = salted.groupBy(*content).agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), "salt")).alias("met"))
+    met = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.call_function("getbit", F.col("met"), k) == 1)
+    return whole.select("digest", "check", "bytes", F.explode(met).alias("salt"), "keep_id", "group_size")
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -55,8 +59,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
     The largest id of a group stays. Null and empty texts are one group. A null id
     loses against any other; a group of null ids only has keep_id null, and its rows
-    stay. Rows that repeat the id of the winner stay too. An empty table gives an
-    empty table; other columns are ignored.
+    stay. Rows that repeat the id of the winner stay too. A text of any length is compared
+    whole. An empty table gives an empty table; other columns are ignored. ``salts`` is 64
+    at most.
     """
     space = Workspace(docs.sparkSession, "exact-dedup")
     keyed = _keyed(docs, id_col, text_col, salts)
@@ -69,14 +74,14 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; edge cases as in ``classify``, but rows with a null id all stay.
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns; edge cases as there.
 
-    Only the identifiers and digests of losers are joined; where nothing repeats, that side
-    is empty. A row that has the id of a loser, but another text, stays.
+    Losers are joined by id and digest, null-safely: rows with both equal have one
+    verdict, and a row that has the id of a loser, but another text, is not touched.
     """
     space = Workspace(docs.sparkSession, "exact-dedup")
     losers = classify(docs, id_col, text_col, salts).where("NOT kept").select(F.col("doc_id").alias("__fw_loser"), F.col("text_sha256").alias("__fw_digest"))
-    losers = space.save(losers, "losers")
+    losers = space.save(losers.distinct(), "losers")
     space.release()
-    same = (docs[id_col] == losers["__fw_loser"]) & (F.sha2(normalised(docs[text_col]), 256) == losers["__fw_digest"])
+    same = docs[id_col].eqNullSafe(losers["__fw_loser"]) & (F.sha2(normalised(docs[text_col]), 256) == losers["__fw_digest"])
     return docs.join(losers, same, "left_anti")

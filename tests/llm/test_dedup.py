@@ -50,8 +50,13 @@ def test_exact(spark):
     assert sorted([(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got], key=key) == sorted(want, key=key)
     kept = exact_dedup.dedup(table(spark, rows))
     assert kept.columns == ["doc_id", "text", "kept", "keep_id"]
-    losers = {w[0] for w in want if not w[3]}
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, _ in rows if d not in losers or d is None), key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((w[0] for w in want if w[3]), key=str)
+
+
+def test_dedup_agrees_with_classify_on_null_and_reused_ids(spark):
+    rows = [(5, "a"), (6, "A"), (5, "only once"), (None, "a"), (None, "a"), (None, "null only"), (None, "NULL only")]
+    kept = sorted(((r.doc_id, r.text) for r in exact_dedup.dedup(table(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(6, "A"), (5, "only once"), (None, "null only"), (None, "NULL only")], key=repr)
 
 
 def test_exact_dedup_judges_a_reused_id_by_its_text(spark):
