@@ -9,10 +9,15 @@ setting is absent, a temporary folder is used, in local mode only.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
@@ -35,6 +40,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[key]
 
 
+def tidied(batches: Iterator, release: Callable[[], object] = lambda: None) -> Iterator:
+    """``batches`` of a task; at its end or failure, what the worker holds is released.
+
+    Spark keeps Python workers for later stages, so what one stage leaves in them would
+    count in the memory of the next. Freed memory goes back to the system, where the C
+    library has a call for that.
+    """
+    try:
+        yield from batches
+    finally:
+        release()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+def text_slices(batch: pa.RecordBatch, column: int, size: int, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and about ``size`` bytes of text each, or one longer text."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64())).to_numpy()
+    first = 0
+    while first < batch.num_rows:
+        base = int(ends[first - 1]) if first else 0
+        last = min(max(first + 1, int(np.searchsorted(ends, base + size, "right"))), first + rows)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 class Workspace:
     """A set of named scratch tables of one operator run."""
 
