@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from framewright.llm.workspace import tidied
+
 #: The byte-level pre-tokenisation pattern of the public vocabulary. Fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED, CACHED_CHARS = 300_000, 48
@@ -37,13 +39,15 @@ def byte_symbols() -> list[str]:
 
 
 class PairRanks:
-    """Merge table of a byte-level vocabulary: (left << 20 | right) -> (rank, merged symbol)."""
+    """Merge table of a byte-level vocabulary: (left << 17 | right) -> (rank << 20 | merged symbol)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         number = {s: i for i, s in enumerate(dict.fromkeys([*byte_symbols(), *(a + b for a, b in spec["model"]["merges"])]))}
-        self.pairs = {number[a] << 20 | number[b]: (k, number[a + b]) for k, (a, b) in reversed(list(enumerate(spec["model"]["merges"])))}
+        if len(number) >= 1 << 17:
+            raise ValueError("over 131,071 symbols")
+        self.pairs = {number[a] << 17 | number[b]: k << 20 | number[a + b] for k, (a, b) in reversed(list(enumerate(spec["model"]["merges"])))}
         self.special = [t["content"] for t in spec["added_tokens"]]
 
     def merges(self, data: bytes) -> int:
@@ -51,36 +55,37 @@ class PairRanks:
         n = len(data)
         if n < 2:
             return 0
-        pairs = self.pairs
-        symbol = list(data)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            m = pairs.get(symbol[i] << 20 | symbol[i + 1])
-            if m:
-                heap.append((m[0], i, symbol[i], symbol[i + 1], m[1]))
+        known = self.pairs.get
+        symbol = [*data, -1]  # no pair has the symbol -1
+        # A heap entry is rank << 32 | place, so that the lowest rank comes first, then the leftmost place.
+        heap = [found >> 20 << 32 | i for i in range(n - 1) if (found := known(symbol[i] << 17 | symbol[i + 1])) is not None]
+        if not heap:
+            return 0
         heapify(heap)
+        after = list(range(1, n + 2))
+        before = list(range(-1, n))
         done = 0
         while heap:
-            _, i, a, b, merged = heappop(heap)
+            entry = heappop(heap)
+            i = entry & 0xFFFFFFFF
             j = after[i]
-            if symbol[i] != a or j >= n or symbol[j] != b:
+            left = symbol[i]
+            if left < 0 or j >= n:
+                continue
+            found = known(left << 17 | symbol[j])
+            if found is None or found >> 20 != entry >> 32:
                 continue  # one of the two has merged since
             done += 1
-            symbol[i] = merged
+            symbol[i] = merged = found & 0xFFFFF
             symbol[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                m = pairs.get(merged << 20 | symbol[k])
-                if m:
-                    heappush(heap, (m[0], i, merged, symbol[k], m[1]))
+                if (found := known(merged << 17 | symbol[k])) is not None:
+                    heappush(heap, found >> 20 << 32 | i)
             h = before[i]
-            if h >= 0:
-                m = pairs.get(symbol[h] << 20 | merged)
-                if m:
-                    heappush(heap, (m[0], h, symbol[h], merged, m[1]))
+            if h >= 0 and (found := known(symbol[h] << 17 | merged)) is not None:
+                heappush(heap, found >> 20 << 32 | h)
         return done
 
 
@@ -110,6 +115,9 @@ class Counter:
         self.bare, self.spaced = _Counts(self, ""), _Counts(self, " ")
 
     def by_pattern(self, text: str) -> int:
+        if text.lstrip(" ").isalpha() and not text.startswith("  "):  # one match of the pattern: letters after one space at most
+            data = text.encode()
+            return len(data) - self.ranks.merges(data)
         total = 0
         for piece in self.split(text):
             data = piece.encode()
@@ -122,6 +130,11 @@ class Counter:
         first, *parts = text.split(" ")
         return self.bare[first] + sum(map(self.spaced.__getitem__, parts))
 
+    def release(self) -> None:
+        """Empties the caches."""
+        self.bare.clear()
+        self.spaced.clear()
+
     def count(self, text: str) -> int:
         """Tokens of ``text``; each special string in it counts as one."""
         if self.special and "<|" in text:
@@ -146,6 +159,9 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tidied(counted(batches), counter(path).release)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
