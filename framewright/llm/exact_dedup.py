@@ -77,11 +77,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts
     """The rows of ``docs`` that ``classify`` keeps, with all their columns; edge cases as there.
 
     Losers are joined by id and digest, null-safely: rows with both equal have one
-    verdict, and a row that has the id of a loser, but another text, is not touched.
+    verdict, and a row that has the id of a loser, but another text, is not touched. The
+    number of losers grows with the table, so both sides are shuffled, at every size.
     """
     space = Workspace(docs.sparkSession, "exact-dedup")
     losers = classify(docs, id_col, text_col, salts).where("NOT kept").select(F.col("doc_id").alias("__fw_loser"), F.col("text_sha256").alias("__fw_digest"))
     losers = space.save(losers.distinct(), "losers")
     space.release()
     same = docs[id_col].eqNullSafe(losers["__fw_loser"]) & (F.sha2(normalised(docs[text_col]), 256) == losers["__fw_digest"])
-    return docs.join(losers, same, "left_anti")
+    return docs.join(losers.hint("merge"), same, "left_anti")
