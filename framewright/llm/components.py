@@ -44,17 +44,22 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b) that is not the smallest of its component."""
     now = space.save(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "u long, v long").distinct(), f"{name}-0")
-    mark, k = None, 0
-    while True:
+    k = 0
+    while not _stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = space.save(both.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{k}-least")
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         large = space.save(large, f"{name}-{k}-large")
-        least = space.save(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{k}-below")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        now = space.save(small, f"{name}-{k + 1}")
+        space.drop(f"{name}-{k}-large")
+        space.drop(f"{name}-{k}")
         k += 1
-        now = space.save(small, f"{name}-{k}")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = new
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _stars(now: DataFrame) -> bool:
+    """Whether every node has one neighbour, which has none above it: then each star is a component."""
+    per = now.groupBy("u").agg(F.count("*").alias("n"))
+    return per.where("n > 1").isEmpty() and now.join(per.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()

@@ -1,51 +1,57 @@
 """Near-duplicate grouping by SuperMinHash, banding, verification and union-find.
 
-A document's set is its distinct shingles of ``SHINGLE`` words (A-Z lower-cased). Two
-documents are linked when 100 * intersection >= 85 * union of their full sets.
+A document's set is its distinct shingles of some words (A-Z lower-cased). Two documents
+are linked when 100 * intersection >= percent * union of their full sets.
 
 * SuperMinHash: every element deals one random permutation of the places 0..m-1, and
   its value at the j-th dealt place is j plus a random fraction; a place keeps the least
   value. Elements are dealt level by level, and a document stops as soon as no value of
   the coming level could be a least one.
 * Equal sets fall together before anything is compared, by a 128-bit key of the set.
-* Banding: ``BANDS`` bands of ``ROWS`` places. A linked pair shares a band with a
-  probability of at least 1 - (1 - 0.85**6)**40 > 1 - 1e-8.
+* Banding: ``BANDS`` bands of ``ROWS`` places. A linked pair shares no band with a
+  probability of at most (1 - 0.85**6)**40 < 1e-8 at 85 percent, (1 - 0.8**6)**40 < 6e-6
+  at 80 percent.
 * Verification on full sets, in two rounds. First every member of a bucket is compared
   with the bucket's leader, the member whose buckets are largest in all, which is as
   good as the centre of a group of copies. Then, where the members of a leader's buckets
   are not all in one component yet, members of different components are compared with each
   other. They stand there as their differences from the leader, from which every
-  intersection follows exactly; only links that join components leave the task. Large
-  groups are cut into blocks that are compared two by two. No pair is capped or sampled away.
+  intersection follows exactly; only links that join components leave the task. The
+  members of a leader's main component need no comparison among themselves, so only the
+  others, the probes, are sent to all members. Both are dealt into blocks of bounded bytes
+  and rows; where the probes fit one block, every member travels once, however large the
+  group is. No pair is capped or sampled away.
 * Union-find over the verified links, distributed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import wordhash as W
 from framewright.llm.components import components
-from framewright.llm.workspace import Workspace
+from framewright.llm.workspace import Workspace, text_slices, tidied
 
-SHINGLE, BANDS, ROWS = 3, 40, 6
+#: Words of a shingle and least similarity in percent, unless a caller names others.
+SHINGLE, PERCENT = 5, 80
+BANDS, ROWS = 40, 6
 PLACES = BANDS * ROWS
-PERCENT = 85
 #: Levels whose permutations are traced back; later levels, which only small sets reach, keep them as arrays.
 TRACED = 8
-#: Elements that are dealt at once; members of a bucket that are compared at once.
-HELD, BLOCK = 300_000, 2048
-SLICE = 1024
+#: Elements that are dealt at once; about so many members, and bytes of their differences, make a block.
+HELD, BLOCK, BLOCK_BYTES = 300_000, 512, 8 << 20
+#: Rows that are cut at once, and about how many bytes of their text.
+SLICE, SLICE_BYTES = 1024, 4 << 20
 _LOWEST = -(1 << 63)
 _STEP, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingle_sets(batch: pa.RecordBatch, column: int, shingle: int = SHINGLE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def shingle_sets(batch: pa.RecordBatch, column: int, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Pieces of a batch: first row, end row, and the sorted distinct shingle hashes with their rows."""
     buf, offsets = W.text_buffer(batch.column(column))
     for a, b in W.pieces(offsets):
@@ -126,12 +132,11 @@ def set_keys(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> doc_id, n_shingles, key1, key2, bands."""
+def _mark(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, digest, text) -> doc_id, digest, n_shingles, key1, key2, bands."""
     for whole in batches:
-        for at in range(0, whole.num_rows, SLICE):
-            batch = whole.slice(at, SLICE)
-            for a, b, h, rows in shingle_sets(batch, 1):
+        for batch in text_slices(whole, 2, SLICE_BYTES, SLICE):
+            for a, b, h, rows in shingle_sets(batch, 2, shingle):
                 n = b - a
                 rows = rows - a
                 count = np.bincount(rows, minlength=n)
@@ -152,30 +157,23 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands = W.mix(bands + np.arange(BANDS, dtype=np.uint64) * _OTHER).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, n), pa.array(count, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()),
+                        batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(count, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1), pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "key1", "key2", "bands"],
+                    ["doc_id", "digest", "n_shingles", "key1", "key2", "bands"],
                 )
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, key1, key2, text) -> (sid, shingles) where the text's set is the one of the keys."""
+def _full_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(sid, text) -> (sid, shingles)."""
     for whole in batches:
-        for at in range(0, whole.num_rows, SLICE):
-            batch = whole.slice(at, SLICE)
-            wanted = [batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)]
-            for a, b, h, rows in shingle_sets(batch, 3):
-                n = b - a
-                key1, key2 = set_keys(h, rows - a, n)
-                right = np.flatnonzero((key1 == wanted[0][a:b]) & (key2 == wanted[1][a:b]))
+        for batch in text_slices(whole, 1, SLICE_BYTES, SLICE):
+            for a, b, h, rows in shingle_sets(batch, 1, shingle):
                 bounds = np.searchsorted(rows, np.arange(a, b + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n).take(pa.array(right)), pa.array([h[bounds[i] : bounds[i + 1]].tobytes() for i in right], pa.binary())], ["sid", "shingles"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["sid", "shingles"])
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets of hashes are similar enough."""
     if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
@@ -185,11 +183,11 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (both - common)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b, shingles_a, shingles_b) -> the linked (a, b)."""
     for batch in batches:
         left, right = batch.column(2), batch.column(3)
-        good = [i for i in range(batch.num_rows) if linked(np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64))]
+        good = [i for i in range(batch.num_rows) if linked(np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64), percent)]
         rows = pa.array(good, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], ["a", "b"])
 
@@ -207,89 +205,110 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Marks:
-    """Sets of hashes as numbers, to count the common elements of one of them with all."""
+    """Sets of hashes as numbers, to count the common elements of another set with each of them."""
 
     def __init__(self, blobs: list[bytes]):
-        self.length = np.array([len(b) // 8 for b in blobs])
-        flat = np.frombuffer(b"".join(blobs), np.uint64)
-        names, self.number = np.unique(flat, return_inverse=True)
+        self.length = np.array([len(b) // 8 for b in blobs], np.int64)
+        self.names, self.number = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
         self.ends = np.cumsum(self.length)
-        self.marked = np.zeros(len(names), bool)
+        self.marked = np.zeros(len(self.names) + 1, bool)
 
-    def common(self, k: int) -> np.ndarray:
-        own = self.number[self.ends[k] - self.length[k] : self.ends[k]]
+    def common(self, blob: bytes) -> np.ndarray:
+        other = np.frombuffer(blob, np.uint64)
+        at = np.searchsorted(self.names, other)
+        own = at[self.names[np.minimum(at, len(self.names) - 1)] == other] if len(self.names) else at[:0]
         self.marked[own] = True
         sums = np.concatenate([[0], np.cumsum(self.marked[self.number])])
         self.marked[own] = False
         return sums[self.ends] - sums[self.ends - self.length]
 
 
-def joining_links(block: np.ndarray, root: np.ndarray, lead_size: int, lacks: list[bytes], adds: list[bytes], cross: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs of members that are linked and join two components, directly or by earlier pairs.
+def joining_links(lead_size: int, probes: list[tuple], members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links (sid, sid) of probes with members that join two components, directly or by earlier links.
 
-    With ``cross``, only members of different blocks are compared.
+    Both are (sid, root, lacks, adds): differences from a leader's set of ``lead_size`` elements.
     """
-    less, more = _Marks(lacks), _Marks(adds)
+    sid, root = (np.array([m[k] for m in members], np.int64) for k in (0, 1))
+    less, more = _Marks([m[2] for m in members]), _Marks([m[3] for m in members])
     n = lead_size - less.length + more.length
-    above = {r: r for r in set(root.tolist())}
+    above: dict[int, int] = {}
 
     def top(r: int) -> int:
-        while above[r] != r:
-            above[r] = above[above[r]]
-            r = above[r]
+        while (up := above.get(r, r)) != r:
+            above[r] = r = above.get(up, up)
         return r
 
-    names, count = np.unique(root, return_counts=True)
-    main = names[count.argmax()]
     out = []
-    for x in np.flatnonzero(root != main).tolist():  # two members of the main component need no comparison
-        both = lead_size - less.length[x] - less.length + less.common(x) + more.common(x)
-        good = (100 * both >= percent * (n[x] + n - both)) & (root != root[x])
-        if cross:
-            good &= block != block[x]
-        for y in np.flatnonzero(good).tolist():
-            a, b = top(int(root[x])), top(int(root[y]))
+    for own, own_root, lacks, adds in probes:
+        size = lead_size - len(lacks) // 8 + len(adds) // 8
+        both = lead_size - len(lacks) // 8 - less.length + less.common(lacks) + more.common(adds)
+        for k in np.flatnonzero((100 * both >= percent * (size + n - both)) & (root != own_root)).tolist():
+            a, b = top(own_root), top(int(root[k]))
             if a != b:
                 above[max(a, b)] = min(a, b)
-                out.append((x, y))
+                out.append((own, int(sid[k])))
     return out
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between different components. Input, sorted by leader and block pair: lead, i, j, sid, block, root, size, lacks, adds."""
+def _cross(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between different components. Input, sorted by leader and the pair of blocks: lead, i, j, probe, sid, root, size, lacks, adds."""
 
-    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        sid, block, root = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5))
-        found = joining_links(block, root, rows[0][6], [r[7] for r in rows], [r[8] for r in rows], rows[0][1] != rows[0][2])
-        if found:
-            x, y = sid[[f[0] for f in found]], sid[[f[1] for f in found]]
+    def links(key: tuple, probes: list[tuple], members: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if probes and members and (found := joining_links(key[3], probes, members, percent)):
+            x, y = (np.array(c, np.int64) for c in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    held: list[tuple] = []
+    now: tuple | None = None
+    held: tuple[list, list] = ([], [])
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][:3] != row[:3]:
-                yield from links(held)
-                held = []
-            held.append(row)
-    if held:
-        yield from links(held)
+        small = [batch.column(c).to_pylist() for c in range(7)]
+        for k, (lead, i, j, probe, sid, root, size) in enumerate(zip(*small, strict=True)):
+            if now != (lead, i, j, size):
+                if now:
+                    yield from links(now, *held)
+                now, held = (lead, i, j, size), ([], [])
+            held[0 if probe else 1].append((sid, root, batch.column(7)[k].as_py(), batch.column(8)[k].as_py()))
+    if now:
+        yield from links(now, *held)
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+def _blocks(rows: str, size: str) -> Column:
+    """Into how many blocks so many rows, with so many bytes of differences, are dealt."""
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES)).cast("int")
 
-    Ids are integers; a null id counts as the smallest and comes out as null. A text
-    without words, null among them, has an empty set and is linked with nothing. A text
-    of one or two words has one shingle. Rows that repeat an id are judged by their own
-    texts. Other columns are ignored; an empty table gives an empty table.
-    """
-    spark = docs.sparkSession
-    space = Workspace(spark, "minhash-dedup")
-    lowest = F.lit(_LOWEST).cast("long")
-    base = docs.select(F.coalesce(docs[id_col].cast("long"), lowest).alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    marks = space.save(base.mapInArrow(_mark, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), "marks")
-    sets = marks.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+
+def _second_round(led: DataFrame, first: DataFrame, with_sets: Callable[[DataFrame], DataFrame], space: Workspace, percent: int) -> DataFrame | None:
+    """Links between members (lead, sid) of a leader that are in different components ``first``; None where all are in one."""
+    rooted = space.save(led.join(first, led["sid"] == first["node"], "left").select("lead", "sid", F.coalesce("root", "sid").alias("root")), "rooted")
+    groups = rooted.groupBy("lead", "root").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots"))
+    groups = space.save(groups.where("roots > 1").select("lead", "main"), "groups")
+    if groups.isEmpty():
+        return None
+    members = space.save(rooted.join(groups, "lead").select("lead", "sid", "root", (F.col("root") != F.col("main")).alias("probe")), "members")
+    differences = with_sets(members.select(F.col("lead").alias("a"), F.col("sid").alias("b"))).mapInArrow(_differences, "lead long, sid long, size long, lacks binary, adds binary")
+    members = space.save(members.join(differences, ["lead", "sid"]), "differences")
+    volume = F.octet_length("lacks") + F.octet_length("adds")
+    total = members.groupBy("lead").agg(
+        F.count("*").alias("n"), F.sum(volume).alias("bytes"), F.count(F.when(F.col("probe"), 1)).alias("np"), F.sum(F.when(F.col("probe"), volume).otherwise(0)).alias("bytes_p")
+    )
+    total = space.save(total.select("lead", _blocks("np", "bytes_p").alias("probe_blocks"), _blocks("n", "bytes").alias("blocks")), "blocks")
+    # A pair of blocks: probes of block i meet members of block j.
+    place = F.xxhash64("sid")
+    dealt = members.join(total, "lead").withColumn("i", F.pmod(place, "probe_blocks").cast("int")).withColumn("j", F.pmod(place, "blocks").cast("int"))
+    rest = ["sid", "root", "size", "lacks", "adds"]
+    probes = dealt.where("probe").select("lead", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("probe"), *rest)
+    met = dealt.select("lead", F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1)).alias("i"), "j", F.lit(False).alias("probe"), *rest)
+    pairs = probes.unionByName(met).repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    return space.save(pairs.mapInArrow(lambda batches: tidied(_cross(batches, percent)), "a long, b long"), "links-2")
+
+
+def _judged(docs: DataFrame, space: Workspace, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """doc_id (null as the least number), digest of the text, n_shingles, component_id for every row."""
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    base = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_LOWEST).cast("long")).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    marked = base.mapInArrow(lambda batches: tidied(_mark(batches, shingle)), "doc_id long, digest binary, n_shingles long, key1 long, key2 long, bands array<long>")
+    marks = space.save(marked, "marks")
+    sets = marks.where("n_shingles > 0").groupBy("key1", "key2", "n_shingles").agg(F.min(F.struct("doc_id", "digest")).alias("rep"), F.first("bands").alias("bands"))
     sets = space.save(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
     space.release()
 
@@ -304,8 +323,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stars = space.save(stars, "stars")
     space.release()
 
-    wanted = central.join(sets.select("sid", "rep", "key1", "key2"), "sid").select("sid", "key1", "key2", F.col("rep").alias("doc_id"))
-    full = base.join(wanted, "doc_id").select("sid", "key1", "key2", "text").mapInArrow(_full_sets, "sid long, shingles binary")
+    # The texts of the sets. Rows that repeat an id and a text combine in their tasks before they travel.
+    wanted = central.join(sets.select("sid", "rep.doc_id", "rep.digest"), "sid").select("sid", "doc_id", "digest")
+    texts = base.groupBy("doc_id", "digest").agg(F.max("text").alias("text"))
+    full = texts.join(wanted, ["doc_id", "digest"]).select("sid", "text").mapInArrow(lambda batches: tidied(_full_sets(batches, shingle)), "sid long, shingles binary")
     full = space.save(full, "full")
     space.release()
 
@@ -313,41 +334,51 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         a, b = (full.select(F.col("sid").alias(k), F.col("shingles").alias(f"shingles_{k}")) for k in "ab")
         return pairs.join(b, "b").join(a, "a").select("a", "b", "shingles_a", "shingles_b")
 
-    links = space.save(with_sets(stars).mapInArrow(_verify, "a long, b long"), "links-1")
+    links = space.save(with_sets(stars).mapInArrow(lambda batches: tidied(_verify(batches, percent)), "a long, b long"), "links-1")
     space.release()
-    first = components(links, space, "components-1")
+    roots = components(links, space, "components-1")
 
     # Leaders whose buckets hold several components still.
     led = stars.select(F.col("a").alias("lead"), F.col("b").alias("sid")).union(leads.select("lead", F.col("lead").alias("sid")).distinct())
-    rooted = space.save(led.join(first, led["sid"] == first["node"], "left").select("lead", "sid", F.coalesce("root", "sid").alias("root")), "rooted")
-    groups = rooted.groupBy("lead").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("lead", "members")
-    groups = space.save(groups, "groups")
-    members = space.save(rooted.join(groups, "lead"), "members")
-    differences = with_sets(members.select(F.col("lead").alias("a"), F.col("sid").alias("b"))).mapInArrow(_differences, "lead long, sid long, size long, lacks binary, adds binary")
-    differences = space.save(differences, "differences")
+    more = _second_round(led, roots, with_sets, space, percent)
     space.release()
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.join(differences, ["lead", "sid"]).select("lead", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "block", "root", "size", "lacks", "adds")
-    more = dealt.repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j").mapInArrow(_cross, "a long, b long")
-    links = links.union(space.save(more, "links-2"))
-    space.release()
-    roots = components(links, space, "components-2")
+    if more is not None:
+        roots = components(links.union(more), space, "components-2")
 
-    joined = sets.join(roots, sets["sid"] == roots["node"], "left").select("key1", "key2", "n_shingles", "rep", F.coalesce("root", "sid").alias("root"))
+    joined = sets.join(roots, sets["sid"] == roots["node"], "left").select("key1", "key2", "n_shingles", "rep.doc_id", F.coalesce("root", "sid").alias("root"))
     joined = space.save(joined, "joined")
-    ids = space.save(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "ids")
+    ids = space.save(joined.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ids")
     classes = space.save(joined.join(ids, "root").select("key1", "key2", "n_shingles", "component_id"), "classes")
+    for name in ("sets", "sizes", "shared", "central", "leads", "stars", "full", "links-1", "rooted", "groups", "members", "differences", "blocks", "links-2", "joined", "ids"):
+        space.drop(name)
     space.release()
-    out = marks.select("doc_id", "n_shingles", "key1", "key2").join(classes, ["key1", "key2", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    real = lambda c: F.when(F.col(c) != lowest, F.col(c))
+    out = marks.select("doc_id", "digest", "n_shingles", "key1", "key2").join(classes, ["key1", "key2", "n_shingles"], "left")
+    return out.select("doc_id", "digest", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs``.
+
+    Ids are integers; a null id counts as the smallest and comes out as null. A text
+    without words, null among them, has an empty set and is linked with nothing. A text
+    of fewer words than a shingle has one shingle, all its words. Rows that repeat an id
+    are judged by their own texts. A text of any length counts whole. Other columns are
+    ignored; an empty table gives an empty table.
+    """
+    out = _judged(docs, Workspace(docs.sparkSession, "minhash-dedup"), id_col, text_col, shingle, percent)
+    real = lambda c: F.when(F.col(c) != _LOWEST, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group, with all their columns."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns; edge cases as there.
+
+    Losers are joined by id and digest of the text: rows with both equal have one verdict.
+    Their number grows with the table, so both sides are shuffled, at every size.
+    """
     space = Workspace(docs.sparkSession, "minhash-dedup")
-    losers = space.save(classify(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__fw_loser")), "losers")
+    judged = _judged(docs, space, id_col, text_col, shingle, percent)
+    losers = space.save(judged.where("doc_id <> component_id").select(F.col("doc_id").alias("__fw_loser"), F.col("digest").alias("__fw_digest")).distinct(), "losers")
     space.release()
-    return docs.join(losers, docs[id_col] == losers["__fw_loser"], "left_anti")
+    same = (docs[id_col].cast("long") == losers["__fw_loser"]) & (F.unhex(F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)) == losers["__fw_digest"])
+    return docs.join(losers.hint("merge"), same, "left_anti")

@@ -106,14 +106,14 @@ def test_substring_spans_cover_what_is_removed(spark):
         assert all(s.stop - s.start >= substring_dedup.WINDOW for s in r.removed)
 
 
-def shingles(text):
+def shingles(text, n):
     w = WORD.findall((text or "").translate(LOWER))
-    return frozenset(tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))) if w else frozenset()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def brute_components(rows):
+def brute_components(rows, shingle=3, percent=85):
     low = -(1 << 63)
-    sets = [(low if d is None else d, shingles(t)) for d, t in rows]
+    sets = [(low if d is None else d, shingles(t, shingle)) for d, t in rows]
     ids = collections.defaultdict(list)
     for d, s in sets:
         ids[s].append(d)
@@ -128,7 +128,7 @@ def brute_components(rows):
     for i, s in enumerate(unique):
         for j in range(i):
             both = len(s & unique[j])
-            if 100 * both >= 85 * (len(s) + len(unique[j]) - both):
+            if 100 * both >= percent * (len(s) + len(unique[j]) - both):
                 a, b = top(i), top(j)
                 above[max(a, b)] = min(a, b)
     least = collections.defaultdict(lambda: 1 << 63)
@@ -141,15 +141,31 @@ def brute_components(rows):
 
 def test_minhash(spark):
     rows = near_copies() + [(d if d is None else d + 1000, t) for d, t in EDGES]
-    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.classify(table(spark, rows)).collect()]
-    assert sorted(got, key=repr) == sorted(brute_components(rows), key=repr)
+    for shingle, percent in ((3, 85), (5, 80)):
+        got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.classify(table(spark, rows), shingle=shingle, percent=percent).collect()]
+        assert sorted(got, key=repr) == sorted(brute_components(rows, shingle, percent), key=repr)
 
 
 def test_dedup_keeps_one_of_each_group(spark):
     rows = near_copies()
     kept = minhash_dedup.dedup(table(spark, rows))
     assert kept.columns == ["doc_id", "text", "kept", "keep_id"]
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, _, k in brute_components(rows) if k)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, _, k in brute_components(rows, 5, 80) if k)
+
+
+def test_minhash_dedup_agrees_with_classify_on_null_and_reused_ids(spark):
+    long = "one two three four five six seven eight"
+    rows = [(5, long), (6, long.upper()), (6, "only once"), (None, "x y z"), (None, "x y z"), (None, "another"), (7, "x y z"), (7, "X y z")]
+    kept = sorted(((r.doc_id, r.text) for r in minhash_dedup.dedup(table(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(5, long), (6, "only once"), (None, "x y z"), (None, "x y z"), (None, "another")], key=repr)
+
+
+def test_large_group_in_small_blocks(spark, monkeypatch):
+    """Probes and members in many blocks find the same components."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
+    rows = near_copies(9)
+    got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.classify(table(spark, rows)).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 5, 80))
 
 
 @pytest.mark.parametrize("run", [exact_dedup.classify, exact_dedup.dedup, substring_dedup.remove_repeats, minhash_dedup.classify, minhash_dedup.dedup])
@@ -157,16 +173,16 @@ def test_empty(spark, run):
     assert run(table(spark, [(1, "x")]).where("doc_id = 2")).count() == 0
 
 
-def test_joining_links_through_blocks():
+def test_joining_links():
     """Members as differences from their leader; only joins of components come out."""
     import numpy as np
 
     base = np.arange(100, dtype=np.uint64)
     sets = [np.delete(base, range(k, k + w)) for k, w in ((0, 0), (0, 4), (0, 30), (1, 30), (60, 30))]
-    lacks = [np.setdiff1d(base, s).tobytes() for s in sets]
-    found = minhash_dedup.joining_links(np.zeros(5, int), np.array([0, 0, 2, 3, 4]), 100, lacks, [b""] * 5, False)
+    rows = [(k, root, np.setdiff1d(base, x).tobytes(), b"") for k, (root, x) in enumerate(zip((0, 0, 2, 3, 4), sets, strict=True))]
+    found = minhash_dedup.joining_links(100, rows[2:], rows, 85)
     assert [tuple(sorted(f)) for f in found] == [(2, 3)]
-    assert minhash_dedup.joining_links(np.zeros(5, int), np.array([0, 0, 2, 3, 4]), 100, lacks, [b""] * 5, True) == []
+    assert minhash_dedup.joining_links(100, rows[:2], rows[:2], 85) == minhash_dedup.joining_links(100, [], rows, 85) == []
 
 
 def test_components_of_a_chain(spark):
@@ -176,7 +192,7 @@ def test_components_of_a_chain(spark):
     assert got == {**{k: 0 for k in range(1, 61)}, 101: 100}
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op5_substring_dedup"])
+@pytest.mark.parametrize("name", ["op1_exact_dedup", "op5_substring_dedup", "op10_minhash_dedup"])
 def test_oracle(spark, sf_dir, name):
     compare(QUERIES[name](spark, sf_dir), ORACLE_SQL[name], sf_dir)
 
