@@ -57,19 +57,39 @@ def rates(docs: DataFrame, space: Workspace, weights: dict[str, float] | None =
     return out.withColumn("cdf", cumulative(F.col("rate") / F.col("draws")))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", budget: float = 1.0, seed: str = SEED) -> DataFrame:
+def _partitions(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", budget: float = 1.0, seed: str = SEED,
+    copy_col: str = "mix_copy", key_col: str = "mix_key",
+) -> DataFrame:
     """All columns of ``docs`` with ``mix_copy`` (from 1) and ``mix_key``, in global order of the key.
 
     Null sources are a source of their own; null texts count no characters but are
-    drawn like any other. Rows that repeat an id get the same number of copies. An
-    empty table gives an empty table. Columns named like the two new ones are replaced.
+    drawn like any other, and long texts as often as short ones. Rows that repeat an id
+    get the same number of copies. An empty table gives an empty table. Columns named
+    like the two new ones (``copy_col``, ``key_col``) are replaced.
+
+    The keys are uniform, so partition k of n takes those whose first 32 bits fall into
+    the k-th of n equal ranges: the rows are dealt in one pass, without a sample of them.
     """
     space = Workspace(docs.sparkSession, "mixing")
     table = space.save(rates(docs, space, weights, source_col, text_col, budget).select(F.col("source").alias("__fw_source"), F.col("draws").alias("__fw_draws"), F.col("cdf").alias("__fw_cdf")), "rates")
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     joined = docs.join(F.broadcast(table) if few else table, docs[source_col].eqNullSafe(table["__fw_source"]))
-    one = lambda j: F.size(F.filter(F.col("__fw_cdf"), lambda c: c <= uniform(F.lit(seed), docs[id_col], j)))
+
+    def one(j: Column) -> Column:
+        below = lambda u: F.size(F.filter(F.col("__fw_cdf"), lambda c: c <= u))
+        return F.get(F.transform(F.array(uniform(F.lit(seed), docs[id_col], j)), below), 0)  # binds the number, else it is hashed again for every c
+
     drawn = F.aggregate(F.sequence(F.lit(1), F.col("__fw_draws")), F.lit(0), lambda n, j: n + one(j))
-    copies = joined.withColumn("__fw_n", drawn).where("__fw_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__fw_n"))))
-    key = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("mix_copy").cast("string")).cast("binary")), 1, 16)
-    return copies.withColumn("mix_key", key).drop("__fw_source", "__fw_draws", "__fw_cdf", "__fw_n").orderBy("mix_key", id_col, "mix_copy")
+    copies = joined.withColumn("__fw_n", drawn).where("__fw_n > 0").withColumn("__fw_copy", F.explode(F.sequence(F.lit(1), F.col("__fw_n"))))
+    key = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("__fw_copy").cast("string")).cast("binary")), 1, 16)
+    copies = copies.withColumn("__fw_key", key).drop("__fw_source", "__fw_draws", "__fw_cdf", "__fw_n")
+    n = _partitions(docs.sparkSession)
+    place = F.shiftright(F.conv(F.substring("__fw_key", 1, 8), 16, 10).cast("long") * n, 32).cast("int")
+    dealt = copies.repartitionById(n, place).sortWithinPartitions("__fw_key", id_col, "__fw_copy")
+    kept = [c for c in docs.columns if c not in (copy_col, key_col)]
+    return dealt.select(*kept, F.col("__fw_copy").alias(copy_col), F.col("__fw_key").alias(key_col))
