@@ -35,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.workspace import Workspace
+from framewright.llm.workspace import Workspace, tidied
 
 #: Most labelled rows that are learned from: toxic ones, others.
 SAMPLE = (1500, 4500)
-#: Most learned entries; least number of contexts and of texts, the latter also as one toxic text in so many; least log ratio of the rates.
-ENTRIES, CONTEXTS, RARE, LIFT = 2000, 3, 400, 4.0
+#: Least number of contexts and of texts of a learned entry; least log ratio of its rates.
+CONTEXTS, LIFT = 3, 4.0
 THRESHOLD = 0.7
+#: Word classes that a worker keeps while a task runs.
+CACHED = 100_000
 STEMS = (4, 5, 6)
 
 #: Word lists. Fixed values.
@@ -172,7 +174,7 @@ class _Classes(dict):
         kind = self.listed.get(word, OTHER)
         if kind != INSULT and (word in self.words or any(word[:n] in self.stems for n in STEMS if len(word) > n)):
             kind = INSULT
-        if len(self) > 300_000:
+        if len(self) > CACHED:
             self.clear()
             self.update(dict.fromkeys(_BREAKS, END))
         if len(word) < 64:
@@ -192,6 +194,10 @@ class Model:
     def __getstate__(self):
         return {"words": self.words, "stems": self.stems, "weights": self.weights, "_ready": None}
 
+    def release(self) -> None:
+        """Empties the cache of word classes."""
+        self._ready = None
+
     def clauses(self, text: str) -> list[int]:
         """How many clauses of each kind the text has."""
         if self._ready is None:
@@ -298,14 +304,13 @@ def learn_entries(rows: Iterator[tuple[str | None, int]]) -> list[str]:
                 beside_met.append(beside)
     telling = _telling(toxic) if telling is None else telling
     other = dict(zip(*(x.tolist() for x in _distinct(np.array(met, np.int64), np.array(beside_met, np.int64))), strict=True))
-    least = max(CONTEXTS, len(toxic) // RARE)
     chosen = {}
     for h, n in telling.items():
         lift = np.log((n + 0.5) / sizes[1]) - np.log((other.get(h, 0) + 0.5) / sizes[0])
-        if n >= least and lift >= LIFT:
+        if lift >= LIFT:
             chosen[h] = n
     named = {item: chosen[h] for text in toxic for item, _, _ in _items(text) if (h := hash(item)) in chosen}
-    return sorted(named, key=lambda item: (-named[item], item))[:ENTRIES]
+    return sorted(named, key=lambda item: (-named[item], item))
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(docs[id_col].alias("__fw_id"), docs[text_col].cast("string").alias("text")).join(ids, "__fw_id").select("text", "toxic")
     rows = space.save(rows, "sample")
     ordered = rows.coalesce(1).sortWithinPartitions(F.desc("toxic"), "text")
-    entries = [r[0] for r in ordered.mapInArrow(_learn, "entry string").collect()]  # ENTRIES at most
+    entries = [r[0] for r in ordered.mapInArrow(_learn, "entry string").collect()]  # of ``sample`` texts at most
     model = Model(frozenset(e for e in entries if e[-1] != "*"), frozenset(e[:-1] for e in entries if e[-1] == "*"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,8 +357,8 @@ def scores(model: Model, text: Column) -> Column:
     """The model's score of a text column."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return tidied((pd.Series([model.score(t) for t in texts], dtype="float64") for texts in batches), model.release)
 
     return score(text.cast("string"))
 
@@ -362,7 +367,8 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id, held_out, score, predicted for every row.
 
     Null and empty texts get the score of a text without matches. A null id is not
-    held out; repeated rows get equal scores; other columns are ignored; an empty table
+    held out; repeated rows get equal scores; a score equal to ``threshold`` counts as
+    toxic; a text of any length is read whole; other columns are ignored; an empty table
     gives an empty table.
     """
     scored = docs.select(docs[id_col].alias("doc_id"), F.coalesce(held_out(docs[id_col]), F.lit(False)).alias("held_out"), scores(model, docs[text_col]).alias("score"))
@@ -370,5 +376,9 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with all their columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns.
+
+    Null and empty texts stay, as they have no clauses. Repeated rows share their fate;
+    an empty table gives an empty table.
+    """
     return docs.where(scores(model, docs[text_col]) < threshold)
