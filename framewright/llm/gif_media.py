@@ -129,7 +129,8 @@ def decompress(stream: bytes, low: int, count: int) -> np.ndarray:
     limit, bit, done, out = len(stream) * 8, 0, 0, []
     while done < count:
         most = min((limit - bit) // (low + 1), FULL)
-        stopped = False
+        if most <= 0:  # not one whole code is left
+            break
         while True:
             width, at = _bits_of(most, low)
             fits = int(np.searchsorted(at + width, limit - bit, "right"))
@@ -147,8 +148,7 @@ def decompress(stream: bytes, low: int, count: int) -> np.ndarray:
         if not len(ends):
             break
         bit = int(at[n] + width[n])
-        stopped = codes[n] == (1 << low) + 1
-        if stopped:
+        if codes[n] == (1 << low) + 1:
             break
     symbols = np.concatenate(out) if out else np.zeros(0, np.uint8)
     if len(symbols) < count:
@@ -281,7 +281,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, n_bytes and media: every whole text as a GIF. Null and empty texts store 64 zero bytes.
 
     Ids pass through as they are, repeated rows stay repeated, an empty table stays
-    empty, other columns are ignored.
+    empty, other columns are ignored. A long text becomes several frames, one text is
+    held in memory at a time with its media.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -338,15 +339,16 @@ def digest(media: DataFrame) -> DataFrame:
     """Of ``store``'s rows, read back from the media: payload size and hashes, media size and hash, and a feature.
 
     The feature is the number of frames, then the histogram of grey values over all frames.
+    Rows come out as they are, repeated ones too; an empty table gives an empty table;
+    media that cannot be read, null among them, are an error, as ``store`` writes none.
     """
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def one(data: bytes) -> tuple:
         parts, n = [], np.zeros(BINS, np.int64)
         for f in read(data):
-            grey = f.pixels[:, :, 0]
-            parts.append(grey.tobytes())
-            n += np.bincount(grey.reshape(-1) >> 5, minlength=BINS)
+            parts.append(f.pixels[:, :, 0].tobytes())
+            n += f.histogram(0)
         payload = b"".join(parts)
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), f"{len(parts)}:" + ",".join(map(str, n.tolist()))
 
