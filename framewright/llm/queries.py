@@ -70,7 +70,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.classify(table(spark, sf_dir, "documents"))
+    return minhash_dedup.classify(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 QUERIES = {
@@ -91,7 +91,49 @@ def _escaped(column: str) -> str:
     return out
 
 
+_PATH_RULES = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{{k}}}'" for k, (h, p, _) in sorted(enumerate(url_filter.RULES), key=lambda r: -len(r[1][0] + r[1][1]))
+)
+_URL_ROWS = ", ".join(f"({k}, '{h}', '{p}', {y}.0::DOUBLE)" for k, (h, p, y) in enumerate(url_filter.labelled_table(), 1))
+
+
+def _grams(columns: str, source: str) -> str:
+    """SQL for the n-gram buckets of ``source``, a row each."""
+    return f"""SELECT {columns}, ('0x' || substr(md5(substr(t, i, {url_filter.GRAM})), 1, 7))::BIGINT % {url_filter.BUCKETS} AS bucket, length(t) - {url_filter.GRAM - 1} AS n
+        FROM (SELECT *, unnest(range(1, length(t) - {url_filter.GRAM - 2})) AS i FROM (SELECT *, '^' || host || '$' || path || '$' AS t FROM {source}))"""
+
+
 ORACLE_SQL = {
+    "op7_url_filter": f"""
+        WITH RECURSIVE u AS (
+            SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        l AS (SELECT * FROM (VALUES {_URL_ROWS}) AS v(k, host, path, y)),
+        x AS (SELECT k, bucket, count(*) / sqrt(first(n)) AS x FROM ({_grams("k", "l")}) GROUP BY k, bucket),
+        g AS (SELECT a.k, b.k AS j, sum(a.x * b.x) AS g FROM x a JOIN x b USING (bucket) GROUP BY a.k, b.k),
+        m AS (SELECT list(row ORDER BY k) AS g, list(y ORDER BY k) AS y, count(*) AS n FROM (
+            SELECT a.k, first(a.y) AS y, list(coalesce(g, 0) + 1.0::DOUBLE ORDER BY b.k) AS row FROM l a CROSS JOIN l b LEFT JOIN g ON g.k = a.k AND g.j = b.k GROUP BY a.k)),
+        s AS (SELECT 0 AS step, list_transform(y, lambda v: 0.0::DOUBLE) AS a FROM m
+              UNION ALL SELECT step + 1, list_transform(m.g, lambda r, i: a[i] * {1 - url_filter.DECAY}::DOUBLE + (m.y[i] - 1 / (1 + exp(-list_dot_product(r, a)))) * ({url_filter.RATE}::DOUBLE / m.n))
+              FROM s, m WHERE step < {url_filter.STEPS}),
+        f AS (SELECT a FROM s WHERE step = {url_filter.STEPS}),
+        w AS (SELECT bucket, sum(x * f.a[k]) AS w FROM x, f GROUP BY bucket),
+        p AS (SELECT r, sum(coalesce(w, 0)) / sqrt(first(n)) AS z FROM ({_grams("r", "u")}) LEFT JOIN w USING (bucket) GROUP BY r),
+        q AS (SELECT page_id, host, path, round(1 / (1 + exp(-(coalesce(z, 0) + (SELECT list_sum(a) FROM f)))), 6) AS score,
+                     CASE {_PATH_RULES.format(*(h + p for h, p, _ in url_filter.RULES))} END AS rule,
+                     CASE {_PATH_RULES.format(*(v for _, _, v in url_filter.RULES))} END AS decided
+              FROM u LEFT JOIN p USING (r))
+        SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN score >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, score FROM q""",
+    "op10_minhash_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM d WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS met FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * met >= 85 * (a.n + b.n - met)),
+        r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+        m AS (SELECT x, min(y) AS low FROM r GROUP BY x)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id <= coalesce(low, d.doc_id) AS kept
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id""",
     "op1_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

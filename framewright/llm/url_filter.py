@@ -33,8 +33,8 @@ BLOCKED_HOSTS = (
 ALLOWED_HOSTS = (
     "library museum university weather science history garden kitchen travel music cinema theatre "
     "hospital school city council nature forest mountain river bicycle railway astronomy biology chemistry "
-    "poetry archive gazette journal daily theran thering thertion ththan therun tioner haredon onderth "
-    "ererth inghe stones lyother ndatth eshouse thston"
+    "poetry archive gazette journal daily harbour orchard painter teacher village meadow winter letters "
+    "northern stone bridge water thunder ancient island parish evening sailing carpenter"
 ).split()
 BLOCKED_PATHS = "/buy/now /order/discount /win/jackpot /cams/live /free/download".split()
 ALLOWED_PATHS = "/en/12 /fr/480/ /de/771.html /es/35 /about/staff".split()
@@ -87,11 +87,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def grams(host: Column, path: Column, size: int = GRAM, buckets: int = BUCKETS) -> Column:
-    """Bucket numbers of the character n-grams of host and path, each framed by markers."""
+    """Bucket numbers (first 28 bits of the MD5, modulo ``buckets``) of the character n-grams of host and path, each framed by markers."""
     text = F.split(F.concat(F.lit("^"), host, F.lit("$"), path, F.lit("$")), "")
 
     def of(chars: Column) -> Column:
-        gram = lambda k: F.pmod(F.xxhash64(F.array_join(F.slice(chars, k, size), "")), F.lit(buckets)).cast("int")
+        gram = lambda k: F.pmod(F.conv(F.substring(F.md5(F.array_join(F.slice(chars, k, size), "").cast("binary")), 1, 7), 16, 10).cast("int"), F.lit(buckets))
         return F.when(F.size(chars) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(chars) - (size - 1))), gram)).otherwise(F.array().cast("array<int>"))
 
     # The characters are bound by a lambda, so that they are cut once and not again for every n-gram.
@@ -152,15 +152,17 @@ def train(spark: SparkSession, rows: list[tuple[str, str, int]] | None = None, b
 
 
 def judge(pages: DataFrame, model: Model | None = None, url_col: str = "url", id_col: str = "page_id", rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and score (probability of a block) for every row.
+    """page_id, host, path, rule, verdict and score (probability of a block, six places) for every row.
 
     A null URL and one without ``://`` have an empty host and path; they, too, get
-    the model's verdict (its intercept decides). Repeated rows stay repeated, an empty
-    table stays empty, further columns are ignored.
+    the model's verdict (its intercept decides). Of two rules that fit, the longer wins,
+    and no two of one length fit one URL. Null and repeated ids pass through, repeated
+    rows stay repeated with equal verdicts, an empty table stays empty, further columns
+    are ignored. A URL of any length is read whole, in linear time.
     """
     model = model or train(pages.sparkSession)
     cut = pages.select(pages[id_col].alias("page_id"), host_of(pages[url_col]).alias("host"), path_of(pages[url_col]).alias("path"))
     rule, decided = rule_of(F.col("host"), F.col("path"), rules)
-    scored = cut.withColumn("rule", rule).withColumn("decided", decided).withColumn("score", 1 / (1 + F.exp(-model.margin(grams(F.col("host"), F.col("path"))))))
+    scored = cut.withColumn("rule", rule).withColumn("decided", decided).withColumn("score", F.round(1 / (1 + F.exp(-model.margin(grams(F.col("host"), F.col("path"))))), 6))
     verdict = F.coalesce(F.col("decided"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import math
 import random
+import re
 import struct
+import time
 import zlib
 
 import pytest
@@ -70,6 +73,61 @@ def test_disposal_and_transparency():
     assert {s[1] for s in seen} == {70} and [s[2] for s in seen] == [1, 2, 3, 0]
 
 
+def test_every_cut_of_a_file_is_malformed_at_once():
+    rng = random.Random(6)
+    made = [gif_media.write(gif_media.padded(rng.randbytes(300) + b"abc" * 90)), gif([(0, 0, 2, 2, [1, 2, 3, 0], 1, None)] * 3)]
+    begun = time.monotonic()
+    for data in made:
+        for k in range(len(data)):
+            with pytest.raises(gif_media.Malformed):
+                list(gif_media.read(data[:k]))
+            list_or_fault(data[:k] + b"\0\x3b")
+            list_or_fault(data[: max(0, k - 3)] + b"\0" + data[k:])
+    with pytest.raises(gif_media.Malformed):
+        gif_media.decompress(b"", 8, 64)
+    assert time.monotonic() - begun < 60
+
+
+def list_or_fault(data):
+    try:
+        return list(gif_media.read(data))
+    except gif_media.Malformed:
+        return None
+
+
+def plain_payload(media):
+    """Colour indices of a stored GIF by a reader of its own: no palette, no canvas, one code after the other."""
+    at, out, n = 13 + 768, [], 0
+    while media[at] != 0x3B:
+        extension = media[at] == 0x21
+        at += 2 if extension else 10
+        low = None if extension else media[at]
+        at += not extension
+        body = b""
+        while media[at]:
+            body += media[at + 1 : at + 1 + media[at]]
+            at += 1 + media[at]
+        at += 1
+        if not extension:
+            out.append(plain_lzw(body, low))
+            n += 1
+    return n, b"".join(out)
+
+
+def test_media_query(spark, sf_dir):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    media = {r.doc_id: bytes(r.media) for r in gif_media.store(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    rows = QUERIES["op3_gif_media"](spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        n, payload = plain_payload(media[r.doc_id]) if len(texts[r.doc_id]) < 4000 else (-(-len(gif_media.padded(texts[r.doc_id])) // 65536), gif_media.padded(texts[r.doc_id]))
+        assert payload == gif_media.padded(texts[r.doc_id])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest())
+        bins = collections.Counter(b >> 5 for b in payload)
+        assert r.feature == f"{n}:" + ",".join(str(bins[k]) for k in range(8))
+
+
 def test_media_tables(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "é" * 70_000, "x"), (3, "é" * 70_000, "x"), (None, "y" * 64, None)], "doc_id long, text string, media string")
     media = gif_media.store(docs)
@@ -120,7 +178,7 @@ def test_chat_digests(spark):
         assert (got[c].n_turns, got[c].loss_chars, got[c].loss_sha256) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
-@pytest.mark.parametrize("name", ["op4_chat_format", "op9_mixing"])
+@pytest.mark.parametrize("name", ["op4_chat_format", "op7_url_filter", "op9_mixing"])
 def test_oracle(spark, sf_dir, name):
     compare(QUERIES[name](spark, sf_dir), ORACLE_SQL[name], sf_dir)
 
@@ -153,7 +211,7 @@ def test_url_rules_and_parts(spark):
 def test_url_model_separates(spark):
     model = url_filter.train(spark)
     rows = [(h, p, y) for h, p, y in url_filter.labelled_table()]
-    held = [("cheap-pills-24.com", "/en/9", 1), ("www.casino-wins.example.com", "/fr/44", 1), ("spamfarm.example.org", "/de/1", 1), ("museum-paris.org", "/fr/9", 0), ("thererin.example.com", "/en/100", 0)]
+    held = [("cheap-pills-24.com", "/en/9", 1), ("www.casino-wins.example.com", "/fr/44", 1), ("spamfarm.example.org", "/de/1", 1), ("museum-paris.org", "/fr/9", 0), ("lakeside-theatre.example.com", "/en/100", 0)]
     pages = spark.createDataFrame([(k, f"http://{h}{p}") for k, (h, p, _) in enumerate(rows + held)], "page_id long, url string")
     got = {r.page_id: r.score for r in url_filter.judge(pages, model).collect()}
     right = [(got[k] >= 0.5) == bool(y) for k, (_, _, y) in enumerate(rows + held)]
@@ -209,6 +267,68 @@ def test_grammar_scores_clauses():
     assert m.score("You are not an idiot.") < 0.7 and m.score("word " * 100_000) < 0.1
 
 
+def brute_clauses(text, classes):
+    """Clauses by kind, by positions in each clause instead of a table."""
+    counts = [0] * len(toxicity.KINDS)
+    for clause in re.split(r"[.!?;\n]", text.lower()):
+        kinds = [classes(w) for w in re.findall(r"[^\W\d_]+", clause)]
+        near = lambda k, kind, width: kind in kinds[max(0, k - width) : k]
+        marks = lambda k: (near(k, toxicity.NEGATE, 3), toxicity.REPORT in kinds[:k])
+        best, announced, harm = 0, None, None
+        for k, kind in enumerate(kinds):
+            found = None
+            if kind == toxicity.HARM:
+                if announced is not None and k - announced <= 4:
+                    found, harm = marks(k), None
+                else:
+                    harm = k
+                announced = None
+            elif kind == toxicity.TARGET and harm is not None and k - harm <= 3:
+                found, harm, announced = marks(harm), None, None
+            elif kind == toxicity.ANNOUNCE:
+                announced, harm = k, None
+            if found is not None:
+                best = max(best, 3 if any(found) else 6)
+            if kind == toxicity.INSULT:
+                negated, reported = marks(k)
+                best = max(best, 1 if negated else 2 if reported else 5 if near(k, toxicity.TARGET, 5) else 4)
+        if best:
+            counts[best - 1] += 1
+    return counts
+
+
+def test_grammar_against_positions():
+    rng = random.Random(8)
+    m = toxicity.Model(frozenset(["zork"]), frozenset(["quib"]))
+    listed = {w: k for k, ws in ((toxicity.INSULT, toxicity.INSULTS), (toxicity.HARM, toxicity.HARMS), (toxicity.ANNOUNCE, toxicity.ANNOUNCERS), (toxicity.TARGET, toxicity.TARGETS), (toxicity.NEGATE, toxicity.NEGATORS), (toxicity.REPORT, toxicity.REPORTERS)) for w in ws}
+    classes = lambda w: toxicity.INSULT if w in ("zork", "quibble") else listed.get(w, toxicity.OTHER)
+    words = ["idiot", "zork", "quibble", "kill", "hurt", "will", "you", "them", "not", "said", "day", "tree", "sun", ".", "!", "\n"]
+    for _ in range(3000):
+        text = " ".join(rng.choices(words, k=rng.randint(0, 14)))
+        assert m.clauses(text) == brute_clauses(text, classes), text
+
+
+def test_a_score_at_the_threshold_is_toxic(spark):
+    docs = spark.createDataFrame([(1, "you idiot"), (1, "you idiot"), (2, "a day")], "doc_id long, text string")
+    model = toxicity.Model()
+    at = model.score("you idiot")
+    assert sorted((r.doc_id, r.predicted) for r in toxicity.judge(docs, model, threshold=at).collect()) == [(1, 1), (1, 1), (2, 0)]
+    assert [r.doc_id for r in toxicity.reject(docs, model, threshold=at).collect()] == [2]
+
+
+def test_toxicity_query_scores_every_row_as_the_model_does(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    listed = toxicity._Classes(model.words, model.stems)
+    got = {r.doc_id: r for r in QUERIES["op6_toxicity"](spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        counts = brute_clauses(r.text or "", listed.__getitem__)
+        z = model.weights[0] + sum(w * (1 + math.log(c)) for w, c in zip(model.weights[1:], counts, strict=True) if c)
+        assert abs(got[r.doc_id].score - 1 / (1 + math.exp(-z))) < 1e-12 and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.7)
+
+
 def test_learned_words():
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("aeioulmnr", k=6))
