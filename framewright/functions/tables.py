@@ -27,6 +27,25 @@ C2_BAND_UNITS = [0, 18, 26, 30, 32]
 C2_MAX_QUANT = [0.0, 1.5, 2.5, 3.5, 4.5, 7.5, 15.5, 31.5]
 C2_CLC_BITS = [0, 4, 3, 3, 4, 4, 5, 6]
 C2_PAIR_INDEX = [8, 4, 7, 2, 0, 1, 6, 3, 5]
+#: Bits of the variable-length codes of codec 2 by selector and symbol. Fixed values.
+C2_CODE_LENGTHS = {
+    1: [1] + [3] * 2 + [4] * 2 + [5] * 4,
+    2: [1] + [3] * 4,
+    3: [1] + [3] * 2 + [4] * 4,
+    4: [1] + [3] * 2 + [4] * 2 + [5] * 4,
+    5: [2] + [3] * 2 + [4] * 4 + [5] * 2 + [6] * 4 + [4] * 2,
+    6: [3] + [4] * 6 + [5] * 6 + [6] * 8 + [7] * 8 + [4] * 2,
+    7: [3] + [5] * 10 + [6] * 16 + [7] * 14 + [8] * 20 + [4] * 2,
+}
+#: Word-length codes of codec 3: codes of 1, 2, 3, ... bits of each table, and their symbols in the order of the codes. Fixed values.
+C3_WORD_CODES = [
+    ([1, 2], [0, 1, 7]),
+    ([1, 0, 4], [0, 1, 2, 6, 7]),
+    ([1, 0, 2, 3, 2], [0, 1, 7, 2, 5, 6, 3, 4]),
+    ([1, 0, 2, 3, 2], [0, 1, 7, 2, 3, 6, 4, 5]),
+]
+#: Mantissa steps of codec 3 by word length. Fixed values.
+C3_MANTISSA = [0.0, 0.74801636, 0.44882202, 0.32058716, 0.20400238, 0.1496048, 0.07239151, 0.035619736]
 # --- Fixed values: (bit/s, frame bytes, joint stereo) ---
 C2_CONTAINERS = [
     (66150, 192, True), (93713, 272, True), (104738, 304, False), (132300, 384, False),
@@ -94,6 +113,13 @@ SCALE = [2.0 ** (i / 3 - 21) for i in range(64)]
 SINE_32 = [math.sin((i + 0.5) * math.pi / 64) for i in range(32)]
 ENCODE_WINDOW = [math.sin(((i + 0.5) / 256 - 0.5) * math.pi) + 1 for i in range(256)]
 DECODE_WINDOW = [2 * a / (a * a + b * b) for a, b in zip(ENCODE_WINDOW, reversed(ENCODE_WINDOW), strict=True)]
+#: Bits of the word-length codes by table and symbol; 0 where a table has no code.
+C3_WORD_LENGTHS = [[0] * 8 for _ in C3_WORD_CODES]
+for _table, (_counts, _symbols) in enumerate(C3_WORD_CODES):
+    for _symbol, _length in zip(_symbols, [n + 1 for n, count in enumerate(_counts) for _ in range(count)], strict=True):
+        C3_WORD_LENGTHS[_table][_symbol] = _length
+#: Factors of the quantiser of codec 3 by word length; 0 has none.
+C3_INVERSE_MANTISSA = [1 / m if m else 0.0 for m in C3_MANTISSA]
 GAIN_LEVEL = [2.0 ** (4 - i) for i in range(16)]
 GAIN_STEP = [2.0 ** (-(i - 15) / 8) for i in range(31)]
 TONE_AMPLITUDE = [2.0 ** ((i - 3) / 4) for i in range(64)]

@@ -217,18 +217,30 @@ def frequency_pack(x: Column, full: int = 10) -> Column:
     return F.struct(order.alias("order"), F.when(order == "asc", ascending).otherwise(descending).alias("bits"))
 
 
-def decayed(signal: DataFrame, decay: float = 0.98, start: float = 0.006, reach: int = 2047, size: int = 65536) -> DataFrame:
+def decayed(signal: DataFrame, decay: float = 0.98, start: float = 0.006, reach: int = 2047, size: int = 512) -> DataFrame:
     """Exponential mean of x over i: L = decay * L + (1 - decay) * x, from ``start``.
 
-    After ``reach`` steps the weight decay^reach is below double precision, so the value is a
-    finite sum over a window, and needs no scan of the track.
+    A block scan: within a block of ``size`` samples the mean from zero is one running sum of
+    samples that are weighted up by decay^-k, from block to block only its last value
+    travels. After ``reach`` steps the weight decay^reach is below double precision, so a
+    block needs the last values of a few blocks before it, and no scan of the track.
     """
-    def columns(w: Window) -> dict[str, Column]:
-        last = F.collect_list("x").over(w.rowsBetween(-reach, 0))
-        early = F.when(F.col("i") < reach, F.lit(start) * F.pow(F.lit(decay), F.col("i") + 1)).otherwise(0.0)
-        return {"level": F.aggregate(last, F.lit(0.0), lambda s, v: s * decay + v * (1 - decay)) + early}
-
-    return over_track(signal, reach, 0, columns, size)
+    if decay**-size > 1e9:
+        raise ValueError("the block is too long for this decay")
+    keys = ["track", "ch", "block"]
+    rows = signal.withColumn("block", F.floor(F.col("i") / size)).withColumn("k", F.col("i") - F.col("block") * size)
+    weight = (1 - decay) * F.pow(F.lit(decay), -F.col("k"))
+    local = F.sum(F.col("x") * weight).over(Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    last = rows.groupBy(*keys).agg((F.sum(F.col("x") * weight) * decay ** (size - 1)).alias("x")).withColumnRenamed("block", "i")
+    back = -(-reach // size)
+
+    def carried(w: Window) -> dict[str, Column]:
+        return {"carry": sum((F.lag("x", m, 0.0).over(w) * decay ** (size * (m - 1)) for m in range(1, back + 1)), F.lit(0.0))}
+
+    before = over_track(last, back, 0, carried).select("track", "ch", F.col("i").alias("block"), "carry")
+    early = F.when(F.col("i") < reach, F.lit(start) * F.pow(F.lit(decay), F.col("i") + 1)).otherwise(0.0)
+    level = F.col("local") * F.pow(F.lit(decay), F.col("k")) + F.col("carry") * F.pow(F.lit(decay), F.col("k") + 1) + early
+    return rows.withColumn("local", local).join(before, keys).withColumn("level", level).drop("block", "k", "local", "carry")
 
 
 def as_of(x: Column, grid_x: list[float], grid_y: list[float]) -> Column:

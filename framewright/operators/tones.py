@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.framing import dense_index, over_track
+
 
 def strongest(x: np.ndarray, steps: int = 8) -> tuple[float, float, float]:
     """(angular frequency, phase, magnitude) of the strongest sinusoid sin(w n + p): the Fourier peak, refined by Newton-like steps on the least-squares fit."""
@@ -95,19 +97,26 @@ def tone_frames(frames: DataFrame, x: str = "x", most: int = 48) -> DataFrame:
 
 
 def leader_follower(tones: DataFrame) -> DataFrame:
-    """(frame, sb, follower) of tones (frame, sb, freq_idx, ch): the channel with tones in more bands leads (channel 0 on a tie).
+    """(track, frame, sb, follower) of tones (track, frame, sb, freq_idx, ch): the channel with tones in more bands leads (channel 0 on a tie).
 
     In a band the follower has none, shares the leader's (if all its tones are among them), or has its own.
     """
-    counts = tones.groupBy("frame").agg(*(F.count_distinct(F.when(F.col("ch") == c, F.col("sb"))).alias(n) for c, n in ((0, "a"), (1, "b"))))
-    keyed = tones.join(counts, "frame").withColumn("leads", F.col("ch") == F.when(F.col("b") > F.col("a"), 1).otherwise(0))
-    sides = keyed.groupBy("frame", "sb", "freq_idx").agg(F.bool_or("leads").alias("l"), F.bool_or(~F.col("leads")).alias("f"))
+    by = ["track", "frame"]
+    counts = tones.groupBy(*by).agg(*(F.count_distinct(F.when(F.col("ch") == c, F.col("sb"))).alias(n) for c, n in ((0, "a"), (1, "b"))))
+    keyed = tones.join(counts, by).withColumn("leads", F.col("ch") == F.when(F.col("b") > F.col("a"), 1).otherwise(0))
+    sides = keyed.groupBy(*by, "sb", "freq_idx").agg(F.bool_or("leads").alias("l"), F.bool_or(~F.col("leads")).alias("f"))
     kind = F.when(~F.bool_or("f"), "none").when(F.bool_and(F.col("l") | ~F.col("f")), "share").otherwise("own")
-    return sides.groupBy("frame", "sb").agg(kind.alias("follower"))
+    return sides.groupBy(*by, "sb").agg(kind.alias("follower"))
 
 
 def commit_envelopes(parts: DataFrame, length: int) -> DataFrame:
-    """(frame, sb, start, stop, opened): the union of the tones' envelopes of a band in steps of 4, and whether the band's last frame with tones ran to its end."""
-    whole = parts.groupBy("frame", "sb").agg(F.min("start").alias("a"), F.max("stop").alias("b"))
-    w = Window.partitionBy("sb").orderBy("frame")
-    return whole.select("frame", "sb", F.floor(F.col("a") / 4).cast("int").alias("start"), F.floor((F.col("b") - 1) / 4).cast("int").alias("stop"), F.coalesce(F.lag(F.col("b") == length).over(w), F.lit(False)).alias("opened"))
+    """(track, ch, frame, sb, start, stop, opened) of tones' envelopes (track, ch, frame, sb, start, stop): their union in steps of 4, and whether the band's last frame with tones ran to its end.
+
+    Frames of a band are numbered without gaps first, so that the last one with tones is
+    the one before, and the lag stays within blocks.
+    """
+    by = ["track", "ch", "sb"]
+    whole = parts.groupBy(*by, "frame").agg(F.min("start").alias("a"), F.max("stop").alias("b"))
+    numbered = dense_index(whole.withColumn("part", F.struct(*by)), "part", "frame").withColumn("series", F.to_json(F.struct("track", "sb")))
+    rows = over_track(numbered.withColumnRenamed("track", "name").withColumnRenamed("series", "track"), 1, 0, lambda w: {"opened": F.coalesce(F.lag(F.col("b") == length).over(w), F.lit(False))})
+    return rows.select(F.col("name").alias("track"), "ch", "frame", "sb", F.floor(F.col("a") / 4).cast("int").alias("start"), F.floor((F.col("b") - 1) / 4).cast("int").alias("stop"), "opened")

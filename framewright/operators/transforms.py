@@ -63,6 +63,21 @@ def power_spectrum(x: Column) -> Column:
     return _on_arrays(lambda: lambda m: np.abs(np.fft.rfft(m, axis=1)) ** 2, x)
 
 
+def complex_fourier(x: Column) -> Column:
+    """The Fourier transform of complex numbers, real and imaginary parts in turn, as such pairs."""
+
+    def run(m: np.ndarray) -> np.ndarray:
+        z = np.fft.fft(m[:, ::2] + 1j * m[:, 1::2], axis=1)
+        return np.stack([z.real, z.imag], 2).reshape(len(m), -1)
+
+    return _on_arrays(lambda: run, x)
+
+
+def inverse_real_fourier(x: Column) -> Column:
+    """The real samples whose Fourier transform up to half the rate are these pairs of real and imaginary parts: 2 * (pairs - 1) of them."""
+    return _on_arrays(lambda: lambda m: np.fft.irfft(m[:, ::2] + 1j * m[:, 1::2], axis=1), x)
+
+
 def basis_join(frames: DataFrame, keys: list[str], basis: np.ndarray, x: str = "x") -> DataFrame:
     """Declarative form of a linear transform: one row (keys, k, c) for each coefficient."""
     spark: SparkSession = frames.sparkSession

@@ -18,7 +18,7 @@ from framewright.operators import framing as P
 from framewright.operators import sequence as Q
 from framewright.operators import stats as A
 from framewright.operators import transforms as L
-from framewright.plans import kernels
+from framewright.plans import codec_queries, kernels
 from framewright.plans import signals as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,10 +42,7 @@ def values(numbers: list, name: str = "v") -> str:
     return "[" + ", ".join(repr(float(x)) + "::DOUBLE" if isinstance(x, float) else str(x) for x in numbers) + "]"
 
 
-E = "SELECT event_id AS i, value AS x FROM events"
-V = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
-#: One row a line of a vector.
-LINES = f"SELECT vec_id, label, unnest(x) AS c, generate_subscripts(x, 1) - 1 AS line FROM ({V})"
+E, V, LINES = S.EVENTS_SQL, S.VECTORS_SQL, S.LINES_SQL
 #: A layout of 64 lines in 4 bands: units of 8 lines, two units a band.
 W64, B64 = [8] * 8, [0, 2, 4, 6, 8]
 
@@ -413,10 +410,10 @@ _TONES = f"SELECT DISTINCT vec_id // 20 AS frame, line // 16 AS sb, line AS freq
     SELECT frame, sb, CASE WHEN NOT bool_or(f) THEN 'none' WHEN bool_and(l OR NOT f) THEN 'share' ELSE 'own' END AS follower FROM j GROUP BY 1, 2""")
 def leader_follower(spark, sf_dir):
     rows = A.spectrum_rows(S.vectors(spark, sf_dir)).where(F.abs("c") > 0.28)
-    t = rows.select(F.floor(F.col("vec_id") / 20).alias("frame"), F.floor(F.col("line") / 16).alias("sb"), F.col("line").alias("freq_idx"), (F.col("label") % 2).alias("ch")).distinct()
+    t = rows.select(F.lit("vectors").alias("track"), F.floor(F.col("vec_id") / 20).alias("frame"), F.floor(F.col("line") / 16).alias("sb"), F.col("line").alias("freq_idx"), (F.col("label") % 2).alias("ch")).distinct()
     from framewright.operators.tones import leader_follower as merge
 
-    return merge(t)
+    return merge(t).drop("track")
 
 
 @query(f"""WITH e AS (SELECT vec_id // 20 AS frame, line // 16 AS sb, min(line % 16) AS a, max(line % 16) + 1 AS b FROM ({LINES}) WHERE abs(c) > 0.28 GROUP BY 1, 2)
@@ -425,8 +422,8 @@ def envelope_commit(spark, sf_dir):
     from framewright.operators.tones import commit_envelopes
 
     rows = A.spectrum_rows(S.vectors(spark, sf_dir)).where(F.abs("c") > 0.28)
-    e = rows.select(F.floor(F.col("vec_id") / 20).alias("frame"), F.floor(F.col("line") / 16).alias("sb"), (F.col("line") % 16).alias("start"), (F.col("line") % 16 + 1).alias("stop"))
-    return commit_envelopes(e, 16)
+    e = rows.select(F.lit("vectors").alias("track"), F.lit(0).alias("ch"), F.floor(F.col("vec_id") / 20).alias("frame"), F.floor(F.col("line") / 16).alias("sb"), (F.col("line") % 16).alias("start"), (F.col("line") % 16 + 1).alias("stop"))
+    return commit_envelopes(e, 16).drop("track", "ch")
 
 
 @query(f"""SELECT vec_id, CAST(i AS INT) AS i, round(abs(x[1]) * sin(2 * pi() * ((CAST(floor(abs(x[2]) * 2048) AS INT) + CAST(floor(abs(x[3]) * 2048) AS INT) * i) % 2048) / 2048), 8) + 0.0 AS y FROM ({V}), range(0, 16) AS g(i)""")
@@ -569,4 +566,5 @@ def loudness_curve(spark, sf_dir):
     return spark.range(512).select(F.col("id").cast("int").alias("line"), F.round(F.pow(F.lit(10.0), 0.1 * (-10 * t * t + 3 - f / 3000)), 9).alias("weight"))
 
 
-QUERIES |= kernels.QUERIES
+QUERIES |= codec_queries.QUERIES | kernels.QUERIES
+ORACLE_SQL |= codec_queries.ORACLE_SQL

@@ -26,3 +26,9 @@ def channel(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, label, x): one frame of 64 samples a row."""
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+
+
+#: The same signals in DuckDB SQL; of the last, one row a line of a vector.
+EVENTS_SQL = "SELECT event_id AS i, value AS x FROM events"
+VECTORS_SQL = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
+LINES_SQL = f"SELECT vec_id, label, unnest(x) AS c, generate_subscripts(x, 1) - 1 AS line FROM ({VECTORS_SQL})"
