@@ -13,11 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import tables as T
-from framewright.operators.framing import over_track
+from framewright.operators.framing import with_halo
 
 
 @lru_cache(16)
@@ -124,33 +124,59 @@ def upsample(x: Column, rate: float, low_cut: float, factor: int = 8) -> Column:
     return run(x)
 
 
-def fir(signal: DataFrame, taps: list[float], out: str = "y", size: int = 65536) -> DataFrame:
-    """y(i) = sum of taps[age] * x(i - age); samples before the start are zero."""
-    n = len(taps)
+def _on_blocks(signal: DataFrame, before: int, out: list[str], run: Callable[[np.ndarray], tuple[np.ndarray, ...]], step: int, size: int) -> DataFrame:
+    """(track, ch, i, *out) of a signal: ``run`` on the samples of a block after ``before`` earlier ones, giving a value for every ``step``-th sample.
+
+    Blocks are dealt as groups of ``size`` samples with copies of their neighbours' last
+    ones, so that a filter is one convolution a block. Samples before the start, missing
+    ones and nulls are zero.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in signal.schema}
+    schema = f"track {kind['track']}, ch {kind['ch']}, i long, " + ", ".join(f"{c} double" for c in out)
 
-    def columns(w: Window) -> dict[str, Column]:
-        past = F.collect_list("x").over(w.rowsBetween(-(n - 1), 0))
-        return {out: F.aggregate(F.zip_with(F.reverse(past), F.lit(taps), lambda v, t: F.coalesce(v, F.lit(0.0)) * t), F.lit(0.0), lambda s, v: s + v)}
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        begin, last = int(pdf["block"].iloc[0]) * size, int(pdf["i"].max())
+        if last < begin:  # copies only
+            return pd.DataFrame({c: [] for c in ("track", "ch", "i", *out)})
+        x = np.zeros(before + last + 1 - begin)
+        x[pdf["i"].to_numpy() - begin + before] = pdf["x"].fillna(0.0).to_numpy()
+        columns = run(x)
+        return pd.DataFrame({"track": pdf["track"].iloc[0], "ch": pdf["ch"].iloc[0], "i": begin // step + np.arange(len(columns[0])), **dict(zip(out, columns, strict=True))})
 
-    return over_track(signal, n - 1, 0, columns, size)
+    cut = with_halo(signal.select("track", "ch", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x")), before, 0, size)
+    return cut.groupBy("track", "ch", "block").applyInPandas(block, schema)
+
+
+def fir(signal: DataFrame, taps: list[float], out: str = "y", size: int = 65536) -> DataFrame:
+    """(track, ch, i, y) with y(i) = sum of taps[age] * x(i - age); samples before the start are zero."""
+    before = len(taps) - 1
+    return _on_blocks(signal, before, [out], lambda x: (np.convolve(x, taps)[before : len(x)],), 1, size)
 
 
 def qmf_analysis(signal: DataFrame, size: int = 65536) -> DataFrame:
     """(track, ch, i, low, high) at half the rate: even taps make one sum and odd taps another; low is their sum, high their difference.
 
-    The sums belong to the newer sample of each pair.
+    The sums belong to the newer sample of each pair; a last sample without its pair gives none.
     """
-    even = [t if k % 2 == 0 else 0.0 for k, t in enumerate(T.QMF_TAPS)]
-    odd = [t if k % 2 else 0.0 for k, t in enumerate(T.QMF_TAPS)]
-    n = len(even)
+    taps, even = np.array(T.QMF_TAPS), np.arange(48) % 2 == 0
+
+    def run(x: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, b = (np.convolve(x, np.where(some, taps, 0.0))[48 : len(x) : 2] for some in (even, ~even))
+        return a + b, a - b
+
+    return _on_blocks(signal, 47, ["low", "high"], run, 2, size)
+
+
+def qmf_synthesis(halves: DataFrame, size: int = 32768) -> DataFrame:
+    """(track, ch, i, x) of halves (track, ch, i, low, high), half as large as ``qmf_analysis`` gives them: the signal 46 samples late."""
+    taps = np.array(T.QMF_TAPS)
 
-    def columns(w: Window) -> dict[str, Column]:
-        past = F.reverse(F.collect_list("x").over(w.rowsBetween(-(n - 1), 0)))
-        dot = lambda taps: F.aggregate(F.zip_with(past, F.lit(taps), lambda v, t: F.coalesce(v, F.lit(0.0)) * t), F.lit(0.0), lambda s, v: s + v)
-        return {"a": dot(even), "b": dot(odd)}
+    def side(value: Column, own: np.ndarray) -> DataFrame:
+        return fir(halves.select("track", "ch", "i", value.alias("x")), own[::-1].tolist(), "y", size)
 
-    out = over_track(signal, n - 1, 0, columns, size).where("i % 2 = 1")
-    return out.select("track", "ch", F.floor(F.col("i") / 2).alias("i"), (F.col("a") + F.col("b")).alias("low"), (F.col("a") - F.col("b")).alias("high"))
+    odd = side(F.col("low") + F.col("high"), taps[0::2]).withColumn("i", 2 * F.col("i") + 1)
+    even = side(F.col("low") - F.col("high"), taps[1::2]).withColumn("i", 2 * F.col("i"))
+    return even.union(odd).withColumnRenamed("y", "x")
 
 
 # --- Kernels on whole channels (one array a track and channel, or a piece of it with its history) ---

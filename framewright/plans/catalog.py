@@ -279,6 +279,16 @@ def qmf_analysis(spark, sf_dir):
     return L.qmf_analysis(S.events(spark, sf_dir)).select("i", (F.round("low", 6) + 0.0).alias("low"), (F.round("high", 6) + 0.0).alias("high"))
 
 
+@query(f"""WITH f AS (SELECT s.i + t.k AS i, sum(CASE WHEN t.k % 2 = 0 THEN s.x * ({values(T.QMF_TAPS)})[t.k + 1] ELSE 0 END) AS a, sum(CASE WHEN t.k % 2 = 1 THEN s.x * ({values(T.QMF_TAPS)})[t.k + 1] ELSE 0 END) AS b FROM ({E}) s, range(0, 48) AS t(k) GROUP BY 1),
+    h AS (SELECT i // 2 AS j, a, b FROM f WHERE i % 2 = 1 AND i <= (SELECT max(event_id) FROM events)),
+    y AS (SELECT 2 * (j + r) + 1 AS i, a * ({values(T.QMF_TAPS)})[2 * (23 - r) + 1] AS v FROM h, range(0, 24) AS t(r) UNION ALL SELECT 2 * (j + r), b * ({values(T.QMF_TAPS)})[2 * (23 - r) + 2] FROM h, range(0, 24) AS t(r))
+    SELECT i, round(sum(v), 6) + 0.0 AS x FROM y GROUP BY i HAVING i <= (SELECT max(event_id) FROM events)""")
+def qmf_synthesis(spark, sf_dir):
+    """Halves of the events put together again."""
+    halves = L.qmf_analysis(S.events(spark, sf_dir)).withColumns({c: F.col(c) / 2 for c in ("low", "high")})
+    return L.qmf_synthesis(halves).select("i", (F.round("x", 6) + 0.0).alias("x"))
+
+
 # --- Windows and sequences ---
 
 
@@ -567,4 +577,4 @@ def loudness_curve(spark, sf_dir):
 
 
 QUERIES |= codec_queries.QUERIES | kernels.QUERIES
-ORACLE_SQL |= codec_queries.ORACLE_SQL
+ORACLE_SQL |= codec_queries.ORACLE_SQL | kernels.ORACLE_SQL

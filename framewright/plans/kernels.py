@@ -49,7 +49,8 @@ def tone_pursuit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def upsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors at eight times the rate without their low end."""
-    return S.vectors(spark, sf_dir).select("vec_id", L.upsample(F.col("x"), 64.0, 4.0).alias("u")).select("vec_id", "u.signal", "u.ratio")
+    u = S.vectors(spark, sf_dir).select("vec_id", L.upsample(F.col("x"), 64.0, 4.0).alias("u"))
+    return u.select("vec_id", F.transform("u.signal", lambda v: F.round(v, 6) + 0.0).alias("signal"), F.round("u.ratio", 8).alias("ratio"))
 
 
 def polyphase_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +70,7 @@ def polyphase_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
         n = np.arange(y.shape[1]) + block * size // hop
         return pd.DataFrame({"band": np.repeat(np.arange(16), len(n)), "n": np.tile(n, 16), "y": y.reshape(-1)})
 
-    return cut.groupBy("track", "ch", "block").applyInPandas(run, "band int, n long, y double")
+    return cut.groupBy("track", "ch", "block").applyInPandas(run, "band int, n long, y double").withColumn("y", F.round("y", 7) + 0.0)
 
 
 def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,3 +87,22 @@ def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (codec_encode, codec_decode, gain_curves, tone_pursuit, upsampled, polyphase_bands, container_round_trip)}
+
+_TAPER = "CASE WHEN least(line, 63 - line) = 0 THEN 0 WHEN least(line, 63 - line) >= 9 THEN 1 ELSE 1 / (1 + exp(9.0 / least(line, 63 - line) - 9.0 / (9 - least(line, 63 - line)))) END"
+
+#: DuckDB SQL of those that are sums; tests compare the others with plain Python.
+ORACLE_SQL = {
+    "upsampled": f"""
+        WITH w AS (SELECT vec_id, line, c * ({_TAPER}) AS c FROM ({S.LINES_SQL})),
+        s AS (SELECT vec_id, k, sum(c * cos(2 * pi() * k * line / 64)) AS a, sum(c * sin(2 * pi() * k * line / 64)) AS b FROM w, range(0, 33) AS r(k) GROUP BY 1, 2),
+        g AS (SELECT vec_id, k, a, b, CASE WHEN k = 0 THEN 0 ELSE 0.5 - 0.5 * cos(pi() * least(1.0, greatest(0.0, (k - 4 + 1.5) / 3))) END AS g FROM s),
+        y AS (SELECT vec_id, t, sum(2 * g * (a * cos(2 * pi() * k * t / 512) + b * sin(2 * pi() * k * t / 512))) / 64 AS y FROM g, range(0, 512) AS r(t) GROUP BY 1, 2),
+        r AS (SELECT vec_id, round(sum((a * a + b * b) * g * g) / sum(a * a + b * b), 8) AS ratio FROM g GROUP BY 1)
+        SELECT y.vec_id, list(round(y, 6) + 0.0 ORDER BY t) AS signal, any_value(ratio) AS ratio FROM y JOIN r USING (vec_id) GROUP BY 1""",
+    "polyphase_bands": f"""
+        WITH p AS (SELECT unnest([{", ".join(f"{v!r}::DOUBLE" for v in L.polyphase_prototype().tolist())}]) AS h, unnest(range(0, 384)) AS t),
+        f AS (SELECT band, t, 2 * h * cos(pi() / 16 * (band + 0.5) * (t - 191.5) + CASE WHEN band % 2 = 0 THEN 1 ELSE -1 END * pi() / 4) AS f FROM p, range(0, 16) AS r(band)),
+        x AS (SELECT event_id AS i, value / {FULL_SCALE} AS x FROM events)
+        SELECT CAST(band AS INT) AS band, n, round(sum(f * coalesce(x, 0)), 7) + 0.0 AS y
+        FROM f CROSS JOIN (SELECT DISTINCT i // 16 AS n FROM x) h LEFT JOIN x ON x.i = n * 16 + 15 - t GROUP BY band, n""",
+}
