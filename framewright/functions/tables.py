@@ -24,6 +24,7 @@ C1_BOOSTED = [18, 19, 20, 21, 22, 32, 33, 34, 35, 36, 37, 38]
 # --- Fixed values: layout of codec 2 (1024 samples a frame, four bands) ---
 C2_WIDTHS = [8] * 8 + [16] * 8 + [32] * 10 + [64] * 4 + [128] * 2
 C2_BAND_UNITS = [0, 18, 26, 30, 32]
+C2_FIXED = [6] * 2 + [5] + [4] * 3 + [3] * 12 + [2] * 5 + [1] * 6 + [0] * 3
 C2_MAX_QUANT = [0.0, 1.5, 2.5, 3.5, 4.5, 7.5, 15.5, 31.5]
 C2_CLC_BITS = [0, 4, 3, 3, 4, 4, 5, 6]
 C2_PAIR_INDEX = [8, 4, 7, 2, 0, 1, 6, 3, 5]

@@ -225,6 +225,12 @@ def c2_split(x: np.ndarray) -> list[np.ndarray]:
     return [b0, b1, b2, b3]
 
 
+def c2_merge(bands: list[np.ndarray]) -> np.ndarray:
+    """The inverse of ``c2_split``, 138 samples late."""
+    b0, b1, b2, b3 = bands
+    return qmf_merge(qmf_merge(b0, b1), qmf_merge(b3, b2))
+
+
 @lru_cache(2)
 def polyphase_prototype(bands: int = 16, taps: int = 384) -> np.ndarray:
     """A low-pass prototype for a cosine-modulated bank, designed here.

@@ -13,6 +13,7 @@ from framewright.operators import stats as A
 from framewright.operators import tones as N
 from framewright.operators import transforms as L
 from framewright.plans import codec as K
+from framewright.plans import codec2 as K2
 from framewright.plans import signals as S
 from framewright.sources import containers as B
 
@@ -33,6 +34,11 @@ def codec_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.decode(K.encode(_scaled(spark, sf_dir)))
 
 
+def codec2_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound units of the second codec of the event values."""
+    return K2.encode(_scaled(spark, sf_dir))
+
+
 def gain_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain points of frames of 256 samples with 32 subframes."""
     q = A.inner_quartiles(S.events(spark, sf_dir), 256, 8)
@@ -86,7 +92,7 @@ def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.mapInPandas(back, "track string, channels int, title string, n long, payload binary")
 
 
-QUERIES = {f.__name__: f for f in (codec_encode, codec_decode, gain_curves, tone_pursuit, upsampled, polyphase_bands, container_round_trip)}
+QUERIES = {f.__name__: f for f in (codec_encode, codec_decode, codec2_encode, gain_curves, tone_pursuit, upsampled, polyphase_bands, container_round_trip)}
 
 _TAPER = "CASE WHEN least(line, 63 - line) = 0 THEN 0 WHEN least(line, 63 - line) >= 9 THEN 1 ELSE 1 / (1 + exp(9.0 / least(line, 63 - line) - 9.0 / (9 - least(line, 63 - line)))) END"
 
