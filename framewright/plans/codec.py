@@ -193,7 +193,7 @@ def encode_samples(x: np.ndarray, loudness: float = LOUDNESS, history: int = 0)
             continue
         if not any(short):
             loudness = DECAY * loudness + (1 - DECAY) * weighted
-        out.append(pack(spectrum, short, loudness))
+        out.append(pack(spectrum, short, loudness / LOUDNESS))  # relative to the usual level
     return out
 
 

@@ -3,20 +3,24 @@
 Reading goes through Spark's ``binaryFile`` reader, so that any store Spark knows will do;
 a kernel parses each file. Writing assembles a file's bytes from the frames of its track,
 in order; headers that need counts get them from the frames (there is nothing to patch
-afterwards). ``write_files`` hands the bytes to the Hadoop file system of the executor's
-output commit: one file a track, written under a temporary name and renamed.
+afterwards). The ``sound`` data source reads spans of local or shared files and writes one
+file a track, under a temporary name that the commit renames.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import NamedTuple
 from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -38,29 +42,65 @@ class BadFile(ValueError):
 # --- Samples ---
 
 
-def _wav(data: bytes) -> tuple[int, np.ndarray]:
+class Layout(NamedTuple):
+    """Where and how the samples of a file lie: bytes ``start`` to ``stop``, ``bits`` a sample, ``order`` as in struct."""
+
+    rate: int
+    channels: int
+    bits: int
+    order: str
+    real: bool
+    start: int
+    stop: int
+
+    @property
+    def width(self) -> int:
+        return self.bits // 8 * self.channels
+
+    @property
+    def frames(self) -> int:
+        return max(0, self.stop - self.start) // self.width
+
+    def read(self, data: bytes | mmap.mmap, first: int, last: int) -> np.ndarray:
+        """Samples ``first`` to ``last`` (n, channels) in [-1, 1]; only their bytes are touched."""
+        body = data[self.start + first * self.width : self.start + min(last, self.frames) * self.width]
+        size = self.bits // 8
+        if self.real:
+            return np.frombuffer(body, f"{self.order}f{size}").astype(np.float64).reshape(-1, self.channels)
+        if self.bits == 8 and self.order == "<":
+            x = np.frombuffer(body, np.uint8).astype(np.float64) - 128
+        elif self.bits == 24:
+            raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
+            low, mid, high = raw.T if self.order == "<" else raw[:, ::-1].T
+            x = ((high << 24 | mid << 16 | low << 8) >> 8).astype(np.float64)
+        else:
+            x = np.frombuffer(body, f"{self.order}i{size}").astype(np.float64)
+        return (x / 2.0 ** (self.bits - 1)).reshape(-1, self.channels)
+
+
+def _wav(data: bytes | mmap.mmap) -> Layout:
     if data[8:12] != b"WAVE":
         raise BadFile("no WAVE form")
     at, fmt = 12, None
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        body = data[at + 8 : at + 8 + size]
         if name == b"fmt ":
-            fmt = struct.unpack_from("<HHIIHH", body)
+            fmt = struct.unpack_from("<HHIIHH", data, at + 8)
         elif name == b"data" and fmt:
-            return fmt[2], _samples(body, fmt[1], fmt[5], "<", fmt[0] == 3)
+            return Layout(fmt[2], fmt[1], fmt[5], "<", fmt[0] == 3, at + 8, min(len(data), at + 8 + size))
         at += 8 + size + size % 2
     raise BadFile("no samples")
 
 
-def _au(data: bytes) -> tuple[int, np.ndarray]:
+def _au(data: bytes | mmap.mmap) -> Layout:
     offset, _, encoding, rate, channels = struct.unpack_from(">5I", data, 4)
-    if encoding not in (3, 6):
+    bits = {2: 8, 3: 16, 4: 24, 5: 32, 6: 32}.get(encoding)
+    if bits is None:
         raise BadFile(f"encoding {encoding}")
-    return rate, _samples(data[offset:], channels, 16 if encoding == 3 else 32, ">", encoding == 6)
+    return Layout(rate, channels, bits, ">", encoding == 6, offset, len(data))
 
 
-def _aiff(data: bytes) -> tuple[int, np.ndarray]:
+def _aiff(data: bytes | mmap.mmap) -> Layout:
     at, form, rate = 12, None, 0
     while at + 8 <= len(data):
         name, size = data[at : at + 4], struct.unpack_from(">I", data, at + 4)[0]
@@ -69,36 +109,52 @@ def _aiff(data: bytes) -> tuple[int, np.ndarray]:
             exponent, mantissa = struct.unpack_from(">HQ", data, at + 16)
             rate = round(mantissa * 2.0 ** (exponent - 16383 - 63))
         elif name == b"SSND" and form:
-            return rate, _samples(data[at + 16 : at + 8 + size], form[0], form[2], ">", False)
+            return Layout(rate, form[0], form[2], ">", False, at + 16, min(len(data), at + 8 + size))
         at += 8 + size + size % 2
     raise BadFile("no samples")
 
 
-def _samples(body: bytes, channels: int, bits: int, order: str, real: bool) -> np.ndarray:
-    if not channels or bits not in (8, 16, 32) and not (real and bits == 64):
-        raise BadFile("a sample format that is not known")
-    width = bits // 8
-    kind = f"{order}f{width}" if real else "u1" if bits == 8 and order == "<" else f"{order}i{width}"
-    x = np.frombuffer(body[: len(body) // (width * channels) * width * channels], kind).astype(np.float64)
-    if not real:
-        x = (x - 128) / 128 if kind == "u1" else x / 2.0 ** (bits - 1)
-    return x.reshape(-1, channels)
-
-
-def parse_samples(data: bytes) -> tuple[int, np.ndarray]:
-    """Rate and samples (n, channels) in [-1, 1] of a WAV, AU or AIFF file."""
+def layout(data: bytes | mmap.mmap) -> Layout:
+    """The layout of a WAV, AU or AIFF file, from its headers alone."""
     try:
         for magic, parse in ((b"RIFF", _wav), (b".snd", _au), (b"FORM", _aiff)):
             if data[:4] == magic:
-                return parse(data)
+                found = parse(data)
+                if found.channels < 1 or found.bits not in (8, 16, 24, 32) and not (found.real and found.bits == 64):
+                    raise BadFile("a sample format that is not known")
+                return found
     except struct.error as x:
         raise BadFile("the file is cut off") from x
     raise BadFile("an unknown format")
 
 
+def parse_samples(data: bytes) -> tuple[int, np.ndarray]:
+    """Rate and samples (n, channels) in [-1, 1] of a WAV, AU or AIFF file."""
+    found = layout(data)
+    return found.rate, found.read(data, 0, found.frames)
+
+
+def _whole(x: np.ndarray, order: str) -> bytes:
+    return np.clip(np.rint(np.atleast_2d(x) * 32768), -32768, 32767).astype(f"{order}i2").tobytes()
+
+
+def raw_pcm_bytes(x: np.ndarray) -> bytes:
+    """16-bit little-endian samples (n, channels) without a header, limited to [-1, 1]."""
+    return _whole(x, "<")
+
+
+def aiff_bytes(x: np.ndarray, rate: int = RATE) -> bytes:
+    """A 16-bit AIFF file of samples (n, channels), limited to [-1, 1]."""
+    body = _whole(x, ">")
+    exponent = rate.bit_length() - 1
+    common = struct.pack(">hIhHQ", x.shape[1], len(x), 16, 16383 + exponent, rate << 63 - exponent)
+    chunks = b"COMM" + struct.pack(">I", len(common)) + common + b"SSND" + struct.pack(">III", len(body) + 8, 0, 0) + body
+    return b"FORM" + struct.pack(">I", len(chunks) + 4) + b"AIFF" + chunks
+
+
 def wav_bytes(x: np.ndarray, rate: int = RATE) -> bytes:
     """A 16-bit WAV file of samples (n, channels), limited to [-1, 1]."""
-    body = np.clip(np.rint(np.atleast_2d(x) * 32768), -32768, 32767).astype("<i2").tobytes()
+    body = _whole(x, "<")
     channels = np.atleast_2d(x).shape[1]
     fmt = struct.pack("<HHIIHH", 1, channels, rate, rate * channels * 2, channels * 2, 16)
     return b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(body)) + body
@@ -106,7 +162,7 @@ def wav_bytes(x: np.ndarray, rate: int = RATE) -> bytes:
 
 def au_bytes(x: np.ndarray, rate: int = RATE) -> bytes:
     """A 16-bit AU file."""
-    body = np.clip(np.rint(np.atleast_2d(x) * 32768), -32768, 32767).astype(">i2").tobytes()
+    body = _whole(x, ">")
     return b".snd" + struct.pack(">5I", 24, len(body), 3, rate, np.atleast_2d(x).shape[1]) + body
 
 
@@ -347,17 +403,32 @@ class _Reader(DataSourceReader):
     def partitions(self):
         out = []
         for name in self._files():
-            n = os.path.getsize(name)  # at least as many as it has samples
-            out += [_Span(name, k, k + self.span) for k in range(0, n, self.span)]
+            with _mapped(name) as data:
+                n = layout(data).frames
+            out += [_Span(name, k, min(n, k + self.span)) for k in range(0, n, self.span)]
         return out
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            _, x = parse_samples(f.read())
+        """Arrow batches of the span; of the file, its headers and the bytes of the span are touched."""
         track = os.path.splitext(os.path.basename(partition.path))[0]
-        for i in range(partition.first, min(partition.last, len(x))):
-            for c in range(x.shape[1]):
-                yield (track, c, i, float(x[i, c]))
+        with _mapped(partition.path) as data:
+            found = layout(data)
+            for first in range(partition.first, partition.last, 65536):
+                x = found.read(data, first, min(partition.last, first + 65536))
+                n = len(x)
+                for c in range(found.channels):
+                    i = np.arange(first, first + n)
+                    yield pa.RecordBatch.from_arrays([pa.array([track] * n, pa.string()), pa.array(np.full(n, c, np.int32)), pa.array(i, pa.int64()), pa.array(np.ascontiguousarray(x[:, c]))], ["track", "ch", "i", "x"])
+
+
+@contextmanager
+def _mapped(name: str) -> Iterator[bytes | mmap.mmap]:
+    with open(name, "rb") as f:
+        if not os.path.getsize(name):
+            yield b""
+            return
+        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            yield data
 
 
 class SoundFiles(DataSource):

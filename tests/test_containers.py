@@ -60,6 +60,31 @@ def test_sound_files(spark, tmp_path):
     assert len(got) == 1000 and np.allclose([g[1] for g in got], x[:, 1], atol=1 / 32768)
 
 
+def test_sample_formats():
+    x = np.linspace(-1, 1, 60).reshape(-1, 2)
+    for data in (B.aiff_bytes(x), B.wav_bytes(x), B.au_bytes(x)):
+        rate, back = B.parse_samples(data)
+        assert rate == 44100 and np.allclose(back, np.minimum(x, 32767 / 32768), atol=1 / 65536 + 1e-9)
+    assert B.raw_pcm_bytes(x) == B.wav_bytes(x)[44:]
+    whole = np.array([-8388608, -1, 0, 1, 8388607, 70000])
+    for order in ("little", "big"):
+        body = b"".join(int(v).to_bytes(3, order, signed=True) for v in whole)
+        head = b"RIFF\0\0\0\0WAVEfmt " + (16).to_bytes(4, "little") + b"\1\0\1\0" + (44100).to_bytes(4, "little") + b"\0" * 6 + (24).to_bytes(2, "little") + b"data" + len(body).to_bytes(4, "little")
+        au = b".snd" + b"".join(v.to_bytes(4, "big") for v in (24, len(body), 4, 44100, 1))
+        assert (B.parse_samples((head if order == "little" else au) + body)[1][:, 0] * 8388608 == whole).all()
+    for cut in (b"RIFF", b"RIFF\0\0\0\0WAVE", b".snd\0", b""):
+        with pytest.raises(B.BadFile):
+            B.parse_samples(cut)
+
+
+def test_data_source_spans_join(spark, tmp_path):
+    spark.dataSource.register(B.SoundFiles)
+    x = np.stack([np.arange(500), -np.arange(500)], 1) / 32768
+    (tmp_path / "t.aiff").write_bytes(B.aiff_bytes(x))
+    rows = spark.read.format("sound").option("span", 70).load(str(tmp_path)).orderBy("ch", "i").collect()
+    assert [(r.track, r.ch, r.i, round(r.x * 32768)) for r in rows] == [("t", c, i, i * (1 - 2 * c)) for c in range(2) for i in range(500)]
+
+
 def test_data_source_reads_and_writes(spark, tmp_path):
     spark.dataSource.register(B.SoundFiles)
     files = spark.createDataFrame([("one", bytearray(B.wav_bytes(np.zeros((50, 1))))), ("two", bytearray(B.wav_bytes(np.ones((30, 1)) * 0.25)))], "track string, content binary")
