@@ -70,3 +70,18 @@ def test_streaming_equals_batch(spark, sf_dir, tmp_path):
     got = {r.frame: r.energy for r in spark.table("levels").collect()}
     assert got.keys() == batch.keys() and all(abs(got[k] - batch[k]) < 1e-6 for k in got)
     assert spark.table("ahead").count() == len(batch) - 1
+
+
+def test_streaming_passes_lost_samples():
+    """A frame that lacks a sample comes out once later frames have come; the rest stays bounded."""
+    import pandas as pd
+
+    numbers = [k for k in range(400) if k not in (17, 18)]
+    batch = pd.DataFrame({"i": numbers, "x": [float(k) for k in numbers]})
+    rows = R._held(b"", iter([batch.iloc[200:], batch.iloc[:220]]), 0)
+    frames, rest = R._frames(rows, 0, 16, 4)
+    assert len(frames) == 25 and not len(rest) and frames[1].tolist() == [16.0, 0.0, 0.0, *map(float, range(19, 32))]
+    early, rest = R._frames(rows[rows["i"] < 90], 0, 16, 4)
+    assert len(early) == 1 and len(rest) == 90 - 16 - 2
+    frames, rest = R._frames(R._held(rest.tobytes(), iter([batch.iloc[88:100]]), 16), 1, 16, 4)
+    assert [f[-1] for f in frames] == [31.0, 47.0, 63.0, 79.0, 95.0] and len(rest) == 6
