@@ -50,10 +50,3 @@ def curves(profiles: DataFrame, least: float = 1.5) -> DataFrame:
         rows, 1, 0, lambda w: {"last_level": F.lag(F.element_at("level", -1), 1, 0.0).over(w), "last_target": F.lag("target", 1, 0.0).over(w)}, 1024
     )
     return rows.select("track", "ch", "frame", "target", Q.gain_curve(F.col("level"), F.col("low"), F.col("high"), F.col("last_level"), F.col("last_target"), F.lit(least)).alias("points"))
-
-
-def mismatch(actual: np.ndarray, wanted: np.ndarray, early: int = 4) -> float:
-    """How far a curve is from a profile, in squared octaves over the first elements, with a quarter of the slope error."""
-    error = np.log2(np.maximum(actual, 1e-9) / np.maximum(wanted, 1e-9))[:early]
-    slope = np.diff(error)
-    return float((error**2).mean() + 0.25 * (slope**2).mean() if len(slope) else (error**2).mean())

@@ -18,7 +18,7 @@ from framewright.operators import framing as P
 from framewright.operators import sequence as Q
 from framewright.operators import stats as A
 from framewright.operators import transforms as L
-from framewright.plans import codec_queries, kernels
+from framewright.plans import codec_queries, frame_queries, kernels
 from framewright.plans import signals as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -576,5 +576,5 @@ def loudness_curve(spark, sf_dir):
     return spark.range(512).select(F.col("id").cast("int").alias("line"), F.round(F.pow(F.lit(10.0), 0.1 * (-10 * t * t + 3 - f / 3000)), 9).alias("weight"))
 
 
-QUERIES |= codec_queries.QUERIES | kernels.QUERIES
+QUERIES |= codec_queries.QUERIES | kernels.QUERIES  # frame_queries registers with codec_queries
 ORACLE_SQL |= codec_queries.ORACLE_SQL | kernels.ORACLE_SQL
