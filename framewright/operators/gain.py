@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions import tables as T
 from framewright.operators import sequence as Q
+from framewright.operators.curve_start import with_first_point
 from framewright.operators.framing import over_track
 
 NEUTRAL, REGION = 4, 8
@@ -39,8 +40,8 @@ def demodulate(current: np.ndarray, before: np.ndarray, now: list[tuple[int, int
     return (current * scale + before) * divisors(now, len(current))
 
 
-def curves(profiles: DataFrame, least: float = 1.5) -> DataFrame:
-    """(track, ch, frame, target, points) of profiles (track, ch, frame, level, low, high arrays).
+def _with_points(profiles: DataFrame, least: float) -> DataFrame:
+    """Adds target, last_level, last_target and points to profiles.
 
     Besides its own profile, a frame's curve needs the last level and the target of the
     frame before, which depend on that frame alone.
@@ -49,4 +50,21 @@ def curves(profiles: DataFrame, least: float = 1.5) -> DataFrame:
     rows = over_track(
         rows, 1, 0, lambda w: {"last_level": F.lag(F.element_at("level", -1), 1, 0.0).over(w), "last_target": F.lag("target", 1, 0.0).over(w)}, 1024
     )
-    return rows.select("track", "ch", "frame", "target", Q.gain_curve(F.col("level"), F.col("low"), F.col("high"), F.col("last_level"), F.col("last_target"), F.lit(least)).alias("points"))
+    return rows.withColumn("points", Q.gain_curve(F.col("level"), F.col("low"), F.col("high"), F.col("last_level"), F.col("last_target"), F.lit(least)))
+
+
+def curves(profiles: DataFrame, least: float = 1.5) -> DataFrame:
+    """(track, ch, frame, target, points) of profiles (track, ch, frame, level, low, high arrays)."""
+    return _with_points(profiles, least).select("track", "ch", "frame", "target", "points")
+
+
+def decisions(profiles: DataFrame, band: Column, least: float = 1.5) -> DataFrame:
+    """All that decides on a frame's gain points: (track, ch, frame, band, level, target, last_level, last_target, points, first).
+
+    ``first`` holds the numbers behind the point at 0 and the points with it. Written with
+    ``write.json`` it is a log of decisions, a document a frame.
+    """
+    rows = _with_points(profiles, least).withColumn("band", band)
+    points = F.transform("points", lambda p: F.struct(p["level"].cast("int").alias("level"), p["loc"].cast("int").alias("loc")))
+    first = with_first_point(F.col("level"), F.col("last_target"), F.col("target"), points, F.col("band"))
+    return rows.select("track", "ch", "frame", "band", "level", "target", "last_level", "last_target", points.alias("points"), first.alias("first"))

@@ -39,12 +39,22 @@ def codec2_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K2.encode(_scaled(spark, sf_dir))
 
 
-def gain_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gain points of frames of 256 samples with 32 subframes."""
-    q = A.inner_quartiles(S.events(spark, sf_dir), 256, 8)
+def profiles(signal: DataFrame) -> DataFrame:
+    """(track, ch, frame, level, low, high): frames of 256 samples as 32 subframes; a frame without all of them is left out."""
+    q = A.inner_quartiles(signal, 256, 8)
     ordered = F.array_sort(F.collect_list(F.struct("sub", "level", "low", "high")))
     rows = q.groupBy("track", "ch", "frame").agg(ordered.alias("s")).where(F.size("s") == 32)
-    return G.curves(rows.select("track", "ch", "frame", *(F.col(f"s.{c}").alias(c) for c in ("level", "low", "high"))))
+    return rows.select("track", "ch", "frame", *(F.col(f"s.{c}").alias(c) for c in ("level", "low", "high")))
+
+
+def gain_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain points of frames of 256 samples with 32 subframes."""
+    return G.curves(profiles(S.events(spark, sf_dir)))
+
+
+def gain_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What decides on the gain points of the same frames, the point at 0 among them."""
+    return G.decisions(profiles(S.events(spark, sf_dir)), F.lit(0))
 
 
 def tone_pursuit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +102,7 @@ def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.mapInPandas(back, "track string, channels int, title string, n long, payload binary")
 
 
-QUERIES = {f.__name__: f for f in (codec_encode, codec_decode, codec2_encode, gain_curves, tone_pursuit, upsampled, polyphase_bands, container_round_trip)}
+QUERIES = {f.__name__: f for f in (codec_encode, codec_decode, codec2_encode, gain_curves, gain_decisions, tone_pursuit, upsampled, polyphase_bands, container_round_trip)}
 
 _TAPER = "CASE WHEN least(line, 63 - line) = 0 THEN 0 WHEN least(line, 63 - line) >= 9 THEN 1 ELSE 1 / (1 + exp(9.0 / least(line, 63 - line) - 9.0 / (9 - least(line, 63 - line)))) END"
 
