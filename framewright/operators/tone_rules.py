@@ -52,6 +52,22 @@ def without_tones(x: Column, before: Column, now: Column, n: int) -> Column:
     return F.zip_with(x, faded, lambda a, b: a - b)
 
 
+def filtered(bands: DataFrame, tones: DataFrame, n: int) -> DataFrame:
+    """(track, ch, frame, sb, x) of subband frames of ``n`` samples less the tones (track, ch, frame, sb, idx, scale, phase) of their subband; bands without tones are as they were.
+
+    A frame's tones also fade out in the next frame, so both uses are one exchange of the
+    tones; 48 tones a frame at most bound the lists.
+    """
+    by = ["track", "ch", "sb", "frame"]
+    tone = F.struct("idx", "scale", "phase")
+    used = tones.withColumn("late", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("frame", F.col("frame") + F.col("late"))
+    lists = used.groupBy(*by).agg(*(F.array_sort(F.collect_list(F.when(F.col("late") == k, tone))).alias(name) for k, name in ((0, "now"), (1, "before"))))
+    none = F.array().cast("array<struct<idx:int,scale:int,phase:int>>")
+    rows = bands.join(lists, by, "left").withColumns({k: F.coalesce(k, none) for k in ("now", "before")})
+    touched = (F.size("now") > 0) | (F.size("before") > 0)
+    return rows.select(*by, F.when(touched, without_tones(F.col("x"), F.col("before"), F.col("now"), n)).otherwise(F.col("x")).alias("x"))
+
+
 def goes_on(following: Column, tones: Column, n: int) -> Column:
     """Whether the tones, begun anew, take energy out of the next frame's first ``n`` samples."""
     squares = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b * b)

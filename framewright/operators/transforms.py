@@ -273,3 +273,23 @@ def polyphase_merge(subbands: np.ndarray, prototype: np.ndarray | None = None) -
     for m, column in enumerate(subbands.T):
         out[m * bands : m * bands + n] += column @ bank
     return out[: hops * bands] * bands
+
+
+def polyphase_response(spark: SparkSession, count: int = 1024, bands: int = 16, taps: int = 384) -> DataFrame:
+    """(k, band, frequency, magnitude, phase): what a unit sine of angular frequency pi * (k + 1/2) / count becomes in each band.
+
+    The answer is a sine of the decimated rate again: of frequency ``frequency`` within
+    (0, pi), with its phase at the band's sample 0 where the input's phase is 0 at its own.
+    """
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    grid = spark.range(count).select(F.col("id").cast("int").alias("k"), numbers(bands).alias("band")).select("k", "band", numbers(taps).alias("t"))
+    sign = F.when(F.col("band") % 2 == 0, 1).otherwise(-1)
+    f = 2 * F.get(F.lit(polyphase_prototype(bands, taps).tolist()), F.col("t")) * F.cos(math.pi / bands * (F.col("band") + 0.5) * (F.col("t") - (taps - 1) / 2) + sign * (math.pi / 4))
+    w = math.pi * (F.col("k") + 0.5) / count
+    angle = w * (bands - 1 - F.col("t"))
+    sums = grid.groupBy("k", "band").agg(F.sum(f * F.sin(angle)).alias("s"), F.sum(f * F.cos(angle)).alias("c"))
+    turn = F.pmod(bands * w, F.lit(2 * math.pi))
+    folded = turn > math.pi
+    # Beyond half the rate the sine runs backwards: sin(t n + p) is sin((2 pi - t) n + pi - p).
+    phase = F.atan2("s", "c")
+    return sums.select("k", "band", F.when(folded, 2 * math.pi - turn).otherwise(turn).alias("frequency"), F.hypot("s", "c").alias("magnitude"), F.when(folded, math.pi - phase).otherwise(phase).alias("phase"))

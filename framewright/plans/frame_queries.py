@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from framewright.functions import tables as T
 from framewright.operators import curve_start as U
 from framewright.operators import tone_rules as R
+from framewright.operators import transforms as L
 from framewright.operators.framing import over_track
 from framewright.plans import signals as S
 from framewright.plans.codec_queries import _bands_sql, _doubles, bands, query
@@ -119,6 +120,34 @@ def tone_residual(spark, sf_dir):
     return rows.select("frame", F.posexplode(out).alias("p", "x")).withColumn("x", F.round("x", 6) + 0.0)
 
 
+#: Tones in some subbands of some frames.
+_BAND_TONES = "SELECT ch AS sb, frame, 5 + (frame * 3 + ch) % 900 AS idx, frame % 12 AS scale, (frame + ch) % 32 AS phase FROM (SELECT DISTINCT ch, frame FROM b) WHERE (frame + ch) % 3 = 0"
+
+
+@query(f"""WITH b AS ({_bands_sql(8, 128)}), t AS ({_BAND_TONES}),
+    y AS (SELECT sb, frame, p, pow(2.0, (scale - 3) / 4.0) * sin(2 * pi() * ((phase * 64 + idx * p) % 2048) / 2048) * (0.5 - 0.5 * cos(pi() * (p + 0.5) / 128)) AS y FROM t, range(0, 128) AS r(p)
+      UNION ALL SELECT sb, frame + 1, p, pow(2.0, (scale - 3) / 4.0) * sin(2 * pi() * ((phase * 64 + idx * (p + 128)) % 2048) / 2048) * (0.5 + 0.5 * cos(pi() * (p + 0.5) / 128)) FROM t, range(0, 128) AS r(p))
+    SELECT CAST(b.ch AS INT) AS sb, b.frame, CAST(b.p AS INT) AS p, round(any_value(x) - coalesce(sum(y), 0), 6) + 0.0 AS x FROM b LEFT JOIN y ON y.sb = b.ch AND y.frame = b.frame AND y.p = b.p GROUP BY 1, 2, 3""")
+def tone_filter(spark, sf_dir):
+    """Eight bands less the tones that some of their frames have."""
+    rows = bands(spark, sf_dir, 8, 128).withColumnRenamed("ch", "sb").withColumn("ch", F.lit(0))
+    n, c = F.col("frame"), F.col("sb")
+    tones = rows.where((n + c) % 3 == 0).select("track", "ch", "sb", "frame", (5 + (n * 3 + c) % 900).cast("int").alias("idx"), (n % 12).cast("int").alias("scale"), ((n + c) % 32).cast("int").alias("phase"))
+    return R.filtered(rows, tones, 128).select("sb", "frame", F.posexplode("x").alias("p", "x")).withColumn("x", F.round("x", 6) + 0.0)
+
+
+@query(f"""WITH h AS (SELECT unnest({_doubles(L.polyphase_prototype().tolist())}) AS h, unnest(range(0, 384)) AS t),
+    f AS (SELECT band, t, 2 * h * cos(pi() / 16 * (band + 0.5) * (t - 191.5) + CASE WHEN band % 2 = 0 THEN 1 ELSE -1 END * pi() / 4) AS f FROM h, range(0, 16) AS r(band)),
+    y AS (SELECT k, band, pi() * (k + 0.5) / 1024 AS w, sum(f * sin(pi() * (k + 0.5) / 1024 * (15 - t))) AS y0, sum(f * sin(pi() * (k + 0.5) / 1024 * (31 - t))) AS y1 FROM f, range(0, 1024) AS r(k) GROUP BY 1, 2),
+    o AS (SELECT *, acos(cos(16 * w)) AS v FROM y)
+    SELECT CAST(k AS INT) AS k, CAST(band AS INT) AS band, round(v, 7) AS frequency, round(y0, 6) + 0.0 AS at_0, round(y1, 6) + 0.0 AS at_1 FROM o""")
+def bank_response(spark, sf_dir):
+    """The response table as the first two samples of its sines; the SQL filters the input's sines."""
+    rows = L.polyphase_response(spark)
+    at = lambda n: F.round(F.col("magnitude") * F.sin(F.col("frequency") * n + F.col("phase")), 6) + 0.0
+    return rows.select("k", "band", F.round("frequency", 7).alias("frequency"), at(0).alias("at_0"), at(1).alias("at_1"))
+
+
 @query(f"""WITH t AS (SELECT vec_id, line, c, 2 + vec_id % 40 AS idx, vec_id % 32 AS phase FROM ({LINES}))
     SELECT vec_id, sum(pow(c - pow(2.0, -5) * sin(2 * pi() * ((phase * 64 + idx * line) % 2048) / 2048), 2)) < sum(c * c) AS goes_on FROM t GROUP BY 1""")
 def tones_go_on(spark, sf_dir):

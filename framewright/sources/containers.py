@@ -294,9 +294,7 @@ def container_of(path: str, codec: str, named: str | None = None) -> str:
 _READ = "path string, track string, rate int, ch int, i long, x double, error string"
 
 
-def read_samples(spark: SparkSession, path: str, rate: int | None = RATE) -> DataFrame:
-    """(path, track, rate, ch, i, x, error) of the sound files at ``path``; a file that cannot be read, or has another rate, gives one row with its error."""
-
+def _parsed(files: DataFrame, rate: int | None) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for where, data in zip(pdf["path"], pdf["content"], strict=True):
@@ -313,7 +311,22 @@ def read_samples(spark: SparkSession, path: str, rate: int | None = RATE) -> Dat
                     for c in range(x.shape[1]):
                         yield pd.DataFrame({"path": where, "track": track, "rate": found, "ch": c, "i": np.arange(first, first + len(part)), "x": part[:, c], "error": None})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, _READ)
+    return files.select("path", "content").mapInPandas(parse, _READ)
+
+
+def read_samples(spark: SparkSession, path: str, rate: int | None = RATE) -> DataFrame:
+    """(path, track, rate, ch, i, x, error) of the sound files at ``path``; a file that cannot be read, or has another rate, gives one row with its error."""
+    return _parsed(spark.read.format("binaryFile").load(path), rate)
+
+
+def stream_samples(spark: SparkSession, path: str, rate: int | None = RATE, files_a_batch: int = 64) -> DataFrame:
+    """The same as an unbounded stream: files that arrive in the folder ``path`` follow each other.
+
+    A channel that never ends comes as a series of files, each with its own track name; a
+    file must appear whole, that is by a rename.
+    """
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return _parsed(spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_a_batch).load(path), rate)
 
 
 def read_frames(spark: SparkSession, path: str, kind: str) -> DataFrame:

@@ -97,3 +97,23 @@ def test_frames_from_files(spark, tmp_path):
     (tmp_path / "t.aea").write_bytes(B.aea_bytes(FRAMES, 1, "t"))
     rows = B.read_frames(spark, str(tmp_path), "aea").orderBy("n").collect()
     assert [bytes(r.payload) for r in rows][1:] == FRAMES[1:] and "channels=1" in rows[0].info
+
+
+def test_samples_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+
+    def drain():
+        rows = B.stream_samples(spark, str(tmp_path / "in"), files_a_batch=1)
+        sink = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        sink.awaitTermination()
+        return {(r.track, r.ch, r.i): (r.x, r.error) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    x = np.arange(40).reshape(-1, 2) / 64
+    (tmp_path / "in" / "one.au").write_bytes(B.au_bytes(x))
+    (tmp_path / "in" / "bad.au").write_bytes(b".snd")
+    first = drain()
+    assert {k: v[0] for k, v in first.items() if k[0] == "one"} == {("one", c, i): x[i, c] for c in range(2) for i in range(20)}
+    assert first["bad", None, None][1]
+    (tmp_path / "in" / "two.au").write_bytes(B.au_bytes(x[:3]))
+    later = drain()
+    assert set(later) - set(first) == {("two", c, i) for c in range(2) for i in range(3)} and len(later) == 47
