@@ -11,17 +11,39 @@ from pyspark.sql import functions as F
 from framewright.operators.framing import dense_index, over_track
 
 
-def strongest(x: np.ndarray, steps: int = 8) -> tuple[float, float, float]:
-    """(angular frequency, phase, magnitude) of the strongest sinusoid sin(w n + p): the Fourier peak, refined by Newton-like steps on the least-squares fit."""
-    n = len(x)
+def _best_fits(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For signals (r, n) and frequencies (r, m): how much of the energy a sinusoid of that frequency takes, and its sine and cosine parts."""
+    angle = w[:, :, None] * np.arange(x.shape[1])
+    s, c = np.sin(angle), np.cos(angle)
+    ss, cc, sc = (np.einsum("rmn,rmn->rm", a, b) for a, b in ((s, s), (c, c), (s, c)))
+    xs, xc = np.einsum("rmn,rn->rm", s, x), np.einsum("rmn,rn->rm", c, x)
+    det = ss * cc - sc * sc
+    alone = det <= 1e-12 * np.maximum(ss, cc) ** 2  # at half the rate the sine vanishes
+    det = np.where(alone, 1.0, det)
+    a = np.where(alone, np.where(ss > cc, xs / np.maximum(ss, 1e-300), 0.0), (xs * cc - xc * sc) / det)
+    b = np.where(alone, np.where(ss > cc, 0.0, xc / np.maximum(cc, 1e-300)), (xc * ss - xs * sc) / det)
+    return a * xs + b * xc, a, b
+
+
+def strongest(x: np.ndarray, steps: int = 8) -> np.ndarray:
+    """(angular frequency, phase, magnitude) of the strongest sinusoid sin(w n + p) of each row of ``x``: the Fourier peak, then a search that halves its width.
+
+    Each step fits five frequencies about the best one by least squares.
+    """
+    n = x.shape[1]
     spectrum = np.abs(np.fft.rfft(x * np.hanning(n), 4 * n))
-    spectrum[:4] = 0
-    w, width = math.pi * 2 * int(spectrum.argmax()) / (4 * n), math.pi / (2 * n)
+    spectrum[:, :4] = 0
+    w, width, row = math.pi * 2 * spectrum.argmax(1) / (4 * n), math.pi / (2 * n), np.arange(len(x))
     for _ in range(steps):
-        tried = [(w + d * width) for d in (-1, -0.5, 0, 0.5, 1)]
-        w = min(tried, key=lambda v: residual(x, [v])[0])
+        tried = w[:, None] + np.array([-1, -0.5, 0, 0.5, 1]) * width
+        taken, a, b = _best_fits(x, tried)
+        k = taken.argmax(1)
+        w, sine, cosine = tried[row, k], a[row, k], b[row, k]
         width /= 2
-    return (w, *residual(x, [w])[1][0])
+    phase = np.arctan2(cosine, sine)
+    beyond = w > math.pi  # the same sinusoid is one below half the rate
+    phase = np.where(beyond, math.pi - phase, phase) % (2 * math.pi)
+    return np.stack([np.where(beyond, 2 * math.pi - w, w), phase, np.hypot(sine, cosine)], 1)
 
 
 def residual(x: np.ndarray, frequencies: list[float]) -> tuple[float, list[tuple[float, float]]]:
@@ -43,22 +65,35 @@ def refit(x: np.ndarray, frequencies: list[float], rounds: int = 4) -> list[tupl
     return [(w, *pm) for w, pm in zip(ws, residual(x, ws)[1], strict=True)]
 
 
-def pursuit(x: np.ndarray, most: int = 48, gate: float = 0.02, rounds: int = 200) -> list[tuple[float, float, float]]:
-    """Matching pursuit: the strongest sinusoid is fitted and taken away until nothing above ``gate`` of the first is left; bounded rounds."""
-    rest, found, first = np.asarray(x, float).copy(), [], None
-    t = np.arange(len(rest))
-    for _ in range(rounds):
-        if len(found) >= most or not np.any(rest):
-            break
-        w, phase, magnitude = strongest(rest)
-        first = magnitude if first is None else first
-        if magnitude < gate * first or not np.isfinite(magnitude):
+def pursuits(x: np.ndarray, most: int = 48, gate: float = 0.02) -> list[list[tuple[float, float, float]]]:
+    """Matching pursuit on each row of ``x``: the strongest sinusoid is fitted and taken away until nothing above ``gate`` of the first is left, or there are ``most``.
+
+    All rows that still have something go through a round together.
+    """
+    rest, t = np.array(x, float), np.arange(x.shape[1])
+    found: list[list[tuple[float, float, float]]] = [[] for _ in range(len(rest))]
+    first = np.zeros(len(rest))
+    open_ = np.arange(len(rest))
+    for k in range(most):
+        open_ = open_[rest[open_].any(1)]
+        if not len(open_):
             break
-        rest = rest - magnitude * np.sin(w * t + phase)
-        found.append((w, phase, magnitude))
+        tones = strongest(rest[open_])
+        if k == 0:
+            first[open_] = tones[:, 2]
+        good = np.isfinite(tones[:, 2]) & (tones[:, 2] >= gate * first[open_])
+        open_, tones = open_[good], tones[good]
+        rest[open_] -= tones[:, 2:] * np.sin(tones[:, :1] * t + tones[:, 1:2])
+        for r, tone in zip(open_.tolist(), tones.tolist(), strict=True):
+            found[r].append(tuple(tone))
     return found
 
 
+def pursuit(x: np.ndarray, most: int = 48, gate: float = 0.02) -> list[tuple[float, float, float]]:
+    """The tones of one signal."""
+    return pursuits(np.asarray(x, float)[None], most, gate)[0]
+
+
 def generate(amplitude: Column, start: Column, step: Column, n: int) -> Column:
     """n samples of a tone from a table of 2048 steps a turn."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: amplitude * F.sin(2 * math.pi * F.pmod(start + step * i, F.lit(2048)) / 2048))
@@ -85,13 +120,21 @@ def crossfade(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def tone_frames(frames: DataFrame, x: str = "x", most: int = 48) -> DataFrame:
-    """(track, ch, frame, tone, frequency, phase, magnitude) by matching pursuit on every frame; frames without tones give no rows."""
+    """(track, ch, frame, tone, frequency, phase, magnitude) by matching pursuit on every frame; frames without tones give no rows.
+
+    Frames of equal length are searched side by side, as many as keep the work arrays at some 20 MB.
+    """
     import pandas as pd
 
     def run(batches):
         for pdf in batches:
-            rows = [(t, c, f, k, *tone) for t, c, f, v in zip(pdf["track"], pdf["ch"], pdf["frame"], pdf[x], strict=True) for k, tone in enumerate(pursuit(np.asarray(v), most))]
-            yield pd.DataFrame(rows, columns=["track", "ch", "frame", "tone", "frequency", "phase", "magnitude"])
+            for n, same in pdf.groupby(pdf[x].map(len), sort=False):
+                size = max(1, (1 << 18) // (5 * max(1, int(n))))
+                for at in range(0, len(same) if n else 0, size):
+                    part = same.iloc[at : at + size]
+                    tones = pursuits(np.stack(part[x].to_numpy()), most)
+                    rows = [(t, c, f, k, *tone) for t, c, f, own in zip(part["track"], part["ch"], part["frame"], tones, strict=True) for k, tone in enumerate(own)]
+                    yield pd.DataFrame(rows, columns=["track", "ch", "frame", "tone", "frequency", "phase", "magnitude"])
 
     return frames.select("track", "ch", "frame", x).mapInPandas(run, "track string, ch int, frame long, tone int, frequency double, phase double, magnitude double")
 

@@ -143,3 +143,34 @@ def test_tone_query_finds_all_tones(spark, tmp_path):
     got = {(r.frame, r.tone): r.frequency for r in kernels.QUERIES["tone_pursuit"](spark, str(tmp_path)).collect()}
     assert got == {(f, k): w for f, v in enumerate(x) for k, (w, _, _) in enumerate(N.pursuit(v))}
     assert min(sum(f == g for g, _ in got) for f in range(3)) >= 5
+
+
+def test_pursuit_of_many_is_the_plain_search():
+    """Against one signal at a time with a least-squares solver; tones are compared as samples."""
+
+    def plain(x, most, gate):
+        rest, out, n = x.copy(), [], len(x)
+        while len(out) < most and rest.any():
+            spectrum = np.abs(np.fft.rfft(rest * np.hanning(n), 4 * n))
+            spectrum[:4] = 0
+            w, width = 2 * np.pi * spectrum.argmax() / (4 * n), np.pi / (2 * n)
+            for _ in range(8):
+                w = min((w + d * width for d in (-1, -0.5, 0, 0.5, 1)), key=lambda v, r=rest: N.residual(r, [v])[0])
+                width /= 2
+            phase, size = N.residual(rest, [w])[1][0]
+            if out and size < gate * np.abs(out[0][1]):
+                break
+            wave = size * np.sin(w * np.arange(n) + phase)
+            out.append((wave, size))
+            rest = rest - wave
+        return [o[0] for o in out]
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((12, 64))
+    x[4] = 0
+    x[5] = np.sin(np.pi / 2 * np.arange(64))
+    for got, row in zip(N.pursuits(x, 10, 0.2), x, strict=True):
+        want = plain(row, 10, 0.2)
+        assert len(got) == len(want) and all(0 < w <= np.pi for w, _, _ in got)
+        for (w, p, m), wave in zip(got, want, strict=True):
+            assert np.allclose(m * np.sin(w * np.arange(64) + p), wave, atol=1e-6)
