@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions import tables as T
@@ -57,6 +57,16 @@ def full_frames(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     return cut.groupBy("frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("x")).where(F.size("x") == size)
 
 
+def sql_round(x: Column, digits: int) -> Column:
+    """A double rounded as DuckDB does it: scaled up, to the nearest whole number (halves away from zero), scaled back.
+
+    F.round rounds a number's shortest decimals instead. The two differ where these end in a half that the
+    scaled number misses, and where the scaled number is above 2^53, so that scaling back is not exact.
+    """
+    scale = 10.0**digits
+    return Q.let(F.round(x * scale) / scale, lambda r: F.when(F.abs(r) < math.inf, r).otherwise(x))
+
+
 # --- Framing and reshaping ---
 
 
@@ -324,7 +334,7 @@ def plateau(spark, sf_dir):
 @query(f"""WITH f AS ({profile(32)}) SELECT frame, list_transform(range(1, 32), lambda k: round(greatest(
       (list_max(x[greatest(k - 3, 0) + 1:k]) + 1e-9) / (list_max(x[k + 1:k + 3]) + 1e-9), (list_max(x[k + 1:k + 3]) + 1e-9) / (list_max(x[greatest(k - 3, 0) + 1:k]) + 1e-9)), 8)) AS score FROM f""")
 def boundary_score(spark, sf_dir):
-    return full_frames(spark, sf_dir, 32).select("frame", F.transform(Q.boundary_scores(F.col("x")), lambda s: F.round(s, 8)).alias("score"))
+    return full_frames(spark, sf_dir, 32).select("frame", F.transform(Q.boundary_scores(F.col("x")), lambda s: sql_round(s, 8)).alias("score"))
 
 
 _LEVEL = "CAST(CASE WHEN {r} <= 0.5 THEN 4 + floor(log2(floor(1 / greatest({r}, pow(2.0, -11))))) ELSE 4 - floor(log2(greatest(floor(least({r}, 16.0)), 1))) END AS INT)"
